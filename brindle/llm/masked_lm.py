@@ -15,7 +15,7 @@ from .common import Scratch, map_arrow, slices, whole_documents
 from .hashing import Words, long
 
 #: Words with an own input; hashed inputs of all others; words that are output classes of their own; all classes.
-VOCABULARY, HASHED, HEAD, CLASSES = 8192, 1024, 48, 64
+VOCABULARY, HASHED, HEAD, CLASSES = 8192, 1024, 20, 32
 #: Words on either side, width of an input vector, tokens of an update, rounds of averaging, first step size.
 SIDE, WIDTH, MINIBATCH, ROUNDS, RATE = 2, 16, 4096, 1, 0.5
 INPUTS = VOCABULARY + HASHED + 1
@@ -26,47 +26,56 @@ EDGE = INPUTS - 1
 
 
 class Network:
-    """softmax(tanh(sum over positions of E[word] * P[position]) @ O + b) over the classes of the masked word."""
+    """softmax(tanh(inputs of the window, side by side, @ W) @ O + b) over the classes of the masked word."""
 
     def __init__(self, arrays: list[np.ndarray] | None = None):
         if arrays is None:
             random = np.random.Generator(np.random.PCG64(11))
-            arrays = [random.normal(0, 0.3, (INPUTS, WIDTH)), random.normal(1, 0.1, (2 * SIDE, WIDTH)), random.normal(0, 0.1, (WIDTH, CLASSES)), np.zeros(CLASSES)]
-        self.e, self.p, self.o, self.b = (np.array(a, np.float32) for a in arrays)
+            arrays = [random.normal(0, 0.3, (INPUTS, WIDTH)), random.normal(0, 0.15, (2 * SIDE * WIDTH, WIDTH)), random.normal(0, 0.1, (WIDTH, CLASSES)), np.zeros(CLASSES)]
+        self.e, self.w, self.o, self.b = (np.array(a, np.float32) for a in arrays)
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.e, self.p, self.o, self.b]
-
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden, log-probabilities of the classes) for rows of 2 * SIDE inputs."""
-        hidden = np.tanh(sum(self.e[context[:, j]] * self.p[j] for j in range(2 * SIDE)))
-        out = hidden @ self.o
-        out += self.b
-        out -= out.max(axis=1, keepdims=True)
-        out -= np.log(np.exp(out).sum(axis=1, keepdims=True))
-        return hidden, out
+        return [self.e, self.w, self.o, self.b]
+
+    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, hidden, logits) for rows of 2 * SIDE inputs. O and b are bounded, so that exp can't overflow."""
+        x = self.e.take(context.reshape(-1), axis=0).reshape(len(context), -1)
+        hidden = x @ self.w
+        np.tanh(hidden, out=hidden)
+        logits = hidden @ self.o
+        logits += self.b
+        return x, hidden, logits
+
+    def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        logits = self.forward(context)[2]
+        own = logits[np.arange(len(target)), target].astype(np.float64)
+        np.exp(logits, out=logits)
+        return own - np.log(logits @ np.ones(CLASSES, np.float32))
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step down the mean cross-entropy."""
-        hidden, d = self.forward(context)
+        x, hidden, d = self.forward(context)
         np.exp(d, out=d)
-        d[np.arange(len(target)), target] -= 1
-        d *= rate / len(target)
-        back = (d @ self.o.T) * (1 - hidden * hidden)
+        d *= np.float32(rate / len(target)) / (d @ np.ones((CLASSES, 1), np.float32))
+        d[np.arange(len(target)), target] -= np.float32(rate / len(target))
+        back = d @ self.o.T
+        hidden_square = hidden * hidden
+        back -= back * hidden_square
+        pull = back @ self.w.T
         self.o -= hidden.T @ d
         self.b -= d.sum(axis=0)
-        pulls = np.empty((2 * SIDE, *back.shape), np.float32)
-        for j in range(2 * SIDE):
-            np.multiply(back, self.p[j], out=pulls[j])
-            self.p[j] -= np.einsum("ij,ij->j", back, self.e[context[:, j]])
+        np.clip(self.o, -3, 3, out=self.o)
+        np.clip(self.b, -12, 12, out=self.b)
+        self.w -= x.T @ back
         # Rows of one input meet: they are summed before they are taken off. Inputs are rare in a minibatch, so their
         # step is larger, and bounded.
-        at = context.T.reshape(-1)
+        at = context.reshape(-1)
         order = np.argsort(at, kind="stable")
         at = at[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        step = np.add.reduceat(pulls.reshape(-1, back.shape[1])[order], first, axis=0)
-        self.e[at[first]] -= np.clip(32 * step, -0.5, 0.5)
+        step = np.add.reduceat(pull.reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
+        step *= 32
+        self.e[at[first]] -= np.clip(step, -0.5, 0.5, out=step)
 
 
 class Vocabulary:
@@ -196,9 +205,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         inputs, classes, share = vocabulary.look(long(words.hashes()))
         context = windows(words, inputs)
         log_p = share.astype(np.float64)
-        for a in range(0, len(classes), 8192):
-            s = slice(a, a + 8192)
-            log_p[s] += net.forward(context[s])[1][np.arange(len(classes[s])), classes[s]]
+        for a in range(0, len(classes), MINIBATCH):
+            s = slice(a, a + MINIBATCH)
+            log_p[s] += net.log_probability(context[s], classes[s])
         n = words.counts()
         score = np.bincount(words.row, weights=log_p, minlength=batch.num_rows)
         mean = [float(s / c) if c else None for s, c in zip(score, n, strict=True)]
