@@ -53,7 +53,7 @@ def literal(v) -> E:
         return E("CAST(NULL AS STRING)", "NULL", const=None, is_const=True)
     if isinstance(v, bool | int):
         v = int(v)
-        return E(f"{v}L" if v > -(2**63) else "(-9223372036854775807L - 1L)", "INT", const=v, is_const=True)
+        return E(f"{v}L" if v >= 0 else f"({v}L)" if v > -(2**63) else "(-9223372036854775807L - 1L)", "INT", const=v, is_const=True)
     if isinstance(v, float):
         if math.isinf(v):
             sql = f"CAST('{'-' if v < 0 else ''}Infinity' AS DOUBLE)"
@@ -154,9 +154,26 @@ def cast(e: E, declared: str) -> E:
     return E(n.sql, n.cls, a, e.coll)
 
 
+def constant_stored(e: E, aff: str) -> E:
+    """A constant after a column's affinity."""
+    v = e.const
+    if not e.is_const or v is None or isinstance(v, bytes):
+        return e
+    if aff == "TEXT":
+        return e if isinstance(v, str) else replace(e, sql=text(e), cls="TEXT")
+    if aff in ("INTEGER", "NUMERIC", "REAL") and isinstance(v, str):
+        e = _numeric(e)
+        v = e.const
+    if aff == "REAL" and isinstance(v, int):
+        return literal(float(v))
+    if aff in ("INTEGER", "NUMERIC") and isinstance(v, float) and v.is_integer() and abs(v) < 2**63:
+        return literal(int(v))
+    return e
+
+
 def stored(e: E, aff: str, cls: str) -> str:
     """The value a column of an affinity holds, in the column's class; raises where that class can't hold it."""
-    e = value(e)
+    e = value(constant_stored(e, aff))
     if e.cls == "NULL":
         return NULLS[cls]
     if e.cls == cls:

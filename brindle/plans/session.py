@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions.values import E, affinity, ident, known_collation, literal, stored, truth
+from brindle.functions.values import E, affinity, constant_stored, ident, known_collation, literal, stored, truth
 
 from . import ast as A
 from .errors import DialectError, Unsupported
@@ -518,7 +518,7 @@ class Session:
             raise DialectError(f"0 values for {len(names)} columns")
         targets = [self.target(t, n) for n in names] if names is not None else list(range(len(t.columns)))
         if s.query is not None:
-            rel = low.query(s.query, with_scope)
+            rel = self.given_rows(low, t, targets, s, with_scope) or low.query(s.query, with_scope)
             if len(rel.columns) != len(targets):
                 raise DialectError(f"{len(rel.columns)} values for {len(targets)} columns" if names is not None else f"table {t.name} has {len(t.columns)} columns but {len(rel.columns)} values were supplied")
             src = self.spark.sql(rel.sql)
@@ -545,6 +545,30 @@ class Session:
         self.apply_insert(t, rows, s, with_scope)
         return self.returned(t, s, with_scope)
 
+    def given_rows(self, low: Lowering, t: Table, targets: list[int], s, with_scope: Scope) -> Rel | None:
+        """VALUES rows, each value by its column's affinity, so that rows may give one column several classes."""
+        q = s.query
+        if not isinstance(q.body, A.Values) or q.limit is not None or len(q.body.rows[0]) != len(targets):
+            return None
+        rows = [[low.expr(x, Scope(ctes=with_scope.ctes)) for x in r] for r in q.body.rows]
+        kinds = []
+        for k, i in enumerate(targets):
+            if i < 0 or i == t.rowid_alias:
+                kinds.append(("INTEGER", "INT"))
+                continue
+            for r in rows:
+                self.widen(t, i, constant_stored(r[k], t.columns[i].aff).cls)
+            kinds.append((t.columns[i].aff, t.columns[i].cls))
+        sqls = [[stored(e, aff, cls) for e, (aff, cls) in zip(r, kinds, strict=True)] for r in rows]
+        outs = [Out(f"column{k + 1}", cls) for k, (_, cls) in enumerate(kinds)]
+        if all(e.is_const for r in rows for e in r):
+            return Rel(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(r) + ')' for r in sqls)} AS v({', '.join(f'k{k}' for k in range(len(outs)))})", outs)
+        return Rel(" UNION ALL ".join(f"(SELECT {', '.join(f'{x} AS k{k}' for k, x in enumerate(r))})" for r in sqls), outs)
+
+    def settled(self, df: DataFrame) -> DataFrame:
+        """The rows without their lineage."""
+        return Recursion(self.spark).cut(df)[0]
+
     def target(self, t: Table, name: str) -> int:
         if name.lower() in ("rowid", "oid", "_rowid_") and not any(c.name.lower() == name.lower() for c in t.columns):
             return t.rowid_alias if t.rowid_alias is not None else -1
@@ -712,7 +736,7 @@ class Session:
         names = ["_rowid_"] + [f"c{i}" for i in range(len(t.columns))]
         new = self.key_frame(t, u, rows)
         ranked = new.withColumn("_n_", F.row_number().over(Window.partitionBy(*q).orderBy("_order_"))).cache()
-        plain = rows.join(ranked.select("_order_"), "_order_", "left_anti")
+        plain = rows.join(ranked.select("_order_"), "_order_", "left_anti").select("_order_", "_given_", *names)
         touched_all, kept_new = None, plain
         rounds = ranked.agg(F.max("_n_")).first()[0] or 0
         low = self.lowering()
@@ -734,6 +758,7 @@ class Session:
             data = data.join(inside.select("_rowid_"), "_rowid_", "left_anti").select(*names).unionByName(touched.join(inside.select("_rowid_"), "_rowid_", "left_semi").select(*names)) if r > 1 else data
             kept_new = kept_new.join(inside.select("_order_"), "_order_", "left_anti").select("_order_", "_given_", *names).unionByName(missed.select("_order_", "_given_", *names))
             touched_all = touched if touched_all is None else touched_all.unionByName(touched)
+            data, kept_new, touched_all = self.settled(data), self.settled(kept_new), self.settled(touched_all)
         if touched_all is None:
             touched_all = data.limit(0).select(*names)
         return data, kept_new, touched_all
