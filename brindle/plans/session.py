@@ -541,7 +541,8 @@ class Session:
                 e = low.expr(c.default, Scope()) if c.default is not None else literal(None)
                 self.widen(t, i, e.cls)
             columns.append(F.expr(stored(e, c.aff, c.cls)).alias(f"c{i}"))
-        rows = self.place_rowids(t, src.select(*columns))
+        # Rows are numbered once: a plan that runs again may number them in another order.
+        rows = self.place_rowids(t, self.settled(src.select(*columns)))
         self.apply_insert(t, rows, s, with_scope)
         return self.returned(t, s, with_scope)
 
