@@ -29,7 +29,7 @@ def _block(key: Column, blocks: int) -> Column:
 
 def _bits(key: Column) -> list[Column]:
     """One bit number in each word of the key's block."""
-    low = F.xxhash64(key).bitwiseAND(F.lit(0xFFFFFFFF))
+    low = F.xxhash64(key).bitwiseAND(F.lit(0x7FFFFFFF))  # products stay below 2**63
     return [F.shiftrightunsigned((low * F.lit(m)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int") for m in MULTIPLIERS]
 
 
