@@ -26,6 +26,8 @@ def _abs(a: E) -> E:
 def _length(a: E) -> E:
     if a.cls == BLOB:
         return E(f"CAST(octet_length({a.sql}) AS BIGINT)", INT)
+    if a.cls == "ANY":
+        return E(f"if({a.sql}.c = 3, CAST(octet_length({a.sql}.b) AS BIGINT), CAST(char_length({text(a)}) AS BIGINT))", INT)
     return E(f"CAST(char_length(substring_index({text(a)}, char(0), 1)) AS BIGINT)", INT)
 
 
@@ -91,6 +93,9 @@ def _quote(a: E) -> E:
         body = f"concat('\\'', replace({a.sql}, '\\'', '\\'\\''), '\\'')"
     elif a.cls == BLOB:
         body = f"concat('X\\'', hex({a.sql}), '\\'')"
+    elif a.cls == "ANY":
+        parts = {2: _quote(E(f"{a.sql}.t", TEXT)).sql, 3: _quote(E(f"{a.sql}.b", BLOB)).sql}
+        body = f"CASE WHEN {a.sql}.c = 2 THEN {parts[2]} WHEN {a.sql}.c = 3 THEN {parts[3]} ELSE {text(a)} END"
     elif a.cls == REAL:
         body = f"CASE WHEN {a.sql} = CAST('Infinity' AS DOUBLE) THEN '9.0e+999' WHEN {a.sql} = CAST('-Infinity' AS DOUBLE) THEN '-9.0e+999' ELSE {text(a)} END"
     else:
@@ -128,6 +133,8 @@ def _iif(c: E, a: E, b: E | None = None) -> E:
 
 
 def _typeof(a: E) -> E:
+    if a.cls == "ANY":
+        return E(f"CASE WHEN {a.sql} IS NULL THEN 'null' WHEN {a.sql}.c = 2 THEN 'text' WHEN {a.sql}.c = 3 THEN 'blob' WHEN {a.sql}.k = 0 THEN 'integer' ELSE 'real' END", TEXT)
     name = {"INT": "integer", "BOOL": "integer", "REAL": "real", "TEXT": "text", "BLOB": "blob", "NULL": "null"}[a.cls]
     return literal("null") if a.cls == "NULL" else E(f"if({a.sql} IS NULL, 'null', '{name}')", TEXT)
 

@@ -9,13 +9,19 @@ from brindle.plans.errors import DialectError, Unsupported
 
 NUMERIC_PREFIX = r"^[ \\t\\n\\x0b\\f\\r]*([+-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 INTEGER_PREFIX = r"^[ \\t\\n\\x0b\\f\\r]*([+-]?[0-9]+)"
+REAL_PREFIX = r"^[ \\t\\n\\x0b\\f\\r]*[+-]?(?:[0-9]+\\.|\\.[0-9]|[0-9]+[eE][+-]?[0-9])"
 LOOKS_NUMERIC = r"^[ \\t\\n\\x0b\\f\\r]*[+-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?[ \\t\\n\\x0b\\f\\r]*$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class E:
-    """A Spark SQL expression. ``cls``: INT, REAL, TEXT, BLOB, BOOL (an INT 0 or 1) or NULL."""
+    """A Spark SQL expression. ``cls``: INT, REAL, TEXT, BLOB, BOOL (an INT 0 or 1), NULL, or ANY: a class for each row.
+
+    An ANY value is a struct (c, d, lo, t, b, k): c is 1 for numbers, 2 for text, 3 for blobs; a number is d + lo, with
+    k 0 for integers and 1 for reals. Field by field that is the dialect's order over all classes, and exact for
+    integers beyond a double's digits.
+    """
 
     sql: str
     cls: str
@@ -65,7 +71,8 @@ def literal(v) -> E:
     return E(f"X'{v.hex()}'", "BLOB", const=v, is_const=True)
 
 
-NULLS = {"INT": "CAST(NULL AS BIGINT)", "BOOL": "CAST(NULL AS BOOLEAN)", "REAL": "CAST(NULL AS DOUBLE)", "TEXT": "CAST(NULL AS STRING)", "BLOB": "CAST(NULL AS BINARY)", "NULL": "CAST(NULL AS STRING)"}
+ANY_TYPE = "STRUCT<c: TINYINT, d: DOUBLE, lo: BIGINT, t: STRING, b: BINARY, k: TINYINT>"
+NULLS = {"ANY": f"CAST(NULL AS {ANY_TYPE})", "INT": "CAST(NULL AS BIGINT)", "BOOL": "CAST(NULL AS BOOLEAN)", "REAL": "CAST(NULL AS DOUBLE)", "TEXT": "CAST(NULL AS STRING)", "BLOB": "CAST(NULL AS BINARY)", "NULL": "CAST(NULL AS STRING)"}
 
 
 def value(e: E) -> E:
@@ -73,6 +80,31 @@ def value(e: E) -> E:
     return replace(e, sql=f"CAST({e.sql} AS BIGINT)", cls="INT") if e.cls == "BOOL" else e
 
 
+def _any(x: str, c: int, d: str = "0D", lo: str = "0L", t: str = "CAST(NULL AS STRING)", b: str = "CAST(NULL AS BINARY)", k: int = 0) -> str:
+    return f"if({x} IS NULL, {NULLS['ANY']}, CAST(struct({c}Y, {d}, {lo}, {t}, {b}, {k}Y) AS {ANY_TYPE}))"
+
+
+def any_of(e: E) -> str:
+    """A value of any class as an ANY."""
+    e = value(e)
+    x = e.sql
+    if e.cls == "ANY":
+        return x
+    if e.cls == "NULL":
+        return NULLS["ANY"]
+    if e.cls == "INT":
+        lo = f"if({x} BETWEEN -9007199254740992L AND 9007199254740992L, 0L, CAST(CAST({x} AS DECIMAL(20, 0)) - CAST(CAST({x} AS DOUBLE) AS DECIMAL(20, 0)) AS BIGINT))"
+        return _any(x, 1, f"CAST({x} AS DOUBLE)", lo)
+    if e.cls == "REAL":
+        return _any(x, 1, f"{x} + 0D", k=1)
+    return _any(x, 2, t=x) if e.cls == "TEXT" else _any(x, 3, b=x)
+
+
+def any_integer(x: str) -> str:
+    """The integer of an ANY that holds one."""
+    return f"if(abs({x}.d) < 9007199254740992D, CAST({x}.d AS BIGINT), CAST(CAST({x}.d AS DECIMAL(20, 0)) + CAST({x}.lo AS DECIMAL(20, 0)) AS BIGINT))"
+
+
 def real_text(x: str) -> str:
     """A double as text: shortest digits, plain from 1e-4 up to 1e16, else with a two-digit exponent."""
     s = f"CAST({x} AS STRING)"
@@ -88,6 +120,9 @@ def text(e: E) -> str:
         return f"({real_text(e.sql)})"
     if e.cls == "BLOB":
         return f"decode({e.sql}, 'UTF-8')"
+    if e.cls == "ANY":
+        x = e.sql
+        return f"(CASE WHEN {x}.c = 2 THEN {x}.t WHEN {x}.c = 3 THEN decode({x}.b, 'UTF-8') WHEN {x}.k = 0 THEN CAST({any_integer(x)} AS STRING) ELSE {real_text(x + '.d')} END)"
     return f"CAST({value(e).sql} AS STRING)"
 
 
@@ -103,6 +138,9 @@ def number(e: E) -> E:
         return e
     if e.cls == "NULL":
         return E("CAST(NULL AS BIGINT)", "INT", is_const=True)
+    if e.cls == "ANY":
+        t = E(f"if({e.sql}.c = 2, {e.sql}.t, decode({e.sql}.b, 'UTF-8'))", "TEXT")
+        return E(f"if({e.sql}.c = 1, {e.sql}.d + {e.sql}.lo, {number(t).sql})", "REAL")
     if e.is_const:
         import re
 
@@ -126,6 +164,9 @@ def integer(e: E) -> str:
         return real_to_int(e.sql)
     if e.cls == "NULL":
         return "CAST(NULL AS BIGINT)"
+    if e.cls == "ANY":
+        t = E(f"if({e.sql}.c = 2, {e.sql}.t, decode({e.sql}.b, 'UTF-8'))", "TEXT")
+        return f"CASE WHEN {e.sql}.c = 1 AND {e.sql}.k = 0 THEN {any_integer(e.sql)} WHEN {e.sql}.c = 1 THEN {real_to_int(e.sql + '.d')} ELSE {integer(t)} END"
     x = f"CAST(nullif(regexp_extract({text(e)}, '{INTEGER_PREFIX}', 1), '') AS DECIMAL(38, 0))"
     return f"CASE WHEN {e.sql} IS NULL THEN NULL WHEN {x} IS NULL THEN 0L ELSE CAST(least(greatest({x}, -9223372036854775808BD), 9223372036854775807BD) AS BIGINT) END"
 
@@ -148,6 +189,8 @@ def cast(e: E, declared: str) -> E:
         return E(integer(e), "INT", a, e.coll)
     if a == "REAL":
         return E(real(e), "REAL", a, e.coll)
+    if e.cls == "ANY" and a in ("BLOB", "NUMERIC"):
+        raise Unsupported(f"CAST of a value of any class AS {declared}")
     if a == "BLOB":
         return E(f"CAST({text(e)} AS BINARY)" if e.cls != "BLOB" else e.sql, "BLOB", a, e.coll)
     n = number(e)
@@ -171,11 +214,39 @@ def constant_stored(e: E, aff: str) -> E:
     return e
 
 
+def any_stored(e: E, aff: str) -> str:
+    """A value after a column's affinity, in a column of class ANY."""
+    if e.cls == "ANY" and aff == "TEXT":
+        return f"if({e.sql}.c = 3, {e.sql}, {any_of(E(text(e), 'TEXT'))})"
+    if e.cls == "ANY" or aff in ("BLOB", "TEXT") or e.cls == "BLOB":
+        return any_of(e) if aff != "TEXT" or e.cls in ("TEXT", "BLOB", "ANY") else any_of(E(text(e), "TEXT"))
+    if e.cls == "TEXT":
+        n = E(f"CAST(trim({e.sql}) AS DOUBLE)", "REAL")
+        whole = f"rlike({e.sql}, '^[ ]*[+-]?[0-9]{{1,18}}[ ]*$')"
+        made = any_of(n) if aff == "REAL" else f"if({whole}, {any_of(E(f'try_cast(trim({e.sql}) AS BIGINT)', 'INT'))}, {any_stored(n, aff)})"
+        return f"CASE WHEN rlike({e.sql}, '{LOOKS_NUMERIC}') THEN {made} ELSE {any_of(e)} END"
+    if e.cls == "REAL" and aff in ("INTEGER", "NUMERIC"):
+        return f"if({e.sql} = floor({e.sql}) AND abs({e.sql}) < 9.2e18D, {any_of(E(f'CAST({e.sql} AS BIGINT)', 'INT'))}, {any_of(e)})"
+    return any_of(E(f"CAST({e.sql} AS DOUBLE)", "REAL") if e.cls == "INT" and aff == "REAL" else e)
+
+
+def fits(e: E, aff: str, cls: str) -> bool:
+    """Whether a column's class surely holds the value; else the column must become one of class ANY."""
+    e = value(constant_stored(e, aff))
+    if e.cls in ("NULL", cls) or cls == "ANY":
+        return True
+    if e.cls == "INT" and cls == "REAL":
+        return aff == "REAL"
+    return e.cls in ("INT", "REAL") and cls == "TEXT" and aff == "TEXT"
+
+
 def stored(e: E, aff: str, cls: str) -> str:
     """The value a column of an affinity holds, in the column's class; raises where that class can't hold it."""
     e = value(constant_stored(e, aff))
     if e.cls == "NULL":
         return NULLS[cls]
+    if cls == "ANY":
+        return any_stored(e, aff)
     if e.cls == cls:
         return e.sql
     if cls == "REAL" and e.cls == "INT":
@@ -200,6 +271,9 @@ def collation_key(sql: str, coll: str | None) -> str:
 
 def key(e: E) -> str:
     """What equality, grouping and order of a value go by."""
+    if e.cls == "ANY":
+        t = collation_key(f"{e.sql}.t", e.coll)
+        return f"if({e.sql} IS NULL, NULL, struct({e.sql}.c, {e.sql}.d, {e.sql}.lo, {t}, {e.sql}.b))"
     return collation_key(e.sql, e.coll) if e.cls == "TEXT" else value(e).sql
 
 
@@ -265,6 +339,10 @@ def compare(op: str, a: E, b: E) -> E:
             sql = "TRUE" if a.cls == b.cls else f"({other.sql} IS NULL)"
             return E(f"(NOT {sql})" if op == "is not" else sql, "BOOL")
         return E("CAST(NULL AS BOOLEAN)", "BOOL")
+    if "ANY" in (a.cls, b.cls):
+        x, y = (key(E(any_of(s), "ANY", None, coll)) for s in (a, b))
+        sql = f"({x} {spark} {y})"
+        return E(f"(NOT {sql})" if op == "is not" else sql, "BOOL")
     if RANK[a.cls] != RANK[b.cls]:
         less = RANK[a.cls] < RANK[b.cls]
         if op in ("is", "is not"):
@@ -311,15 +389,17 @@ def unify(items: list[E]) -> tuple[list[str], str]:
     elif classes <= {"BOOL", "INT"}:
         cls = "INT" if classes else "NULL"
     elif classes <= {"BOOL", "INT", "REAL"}:
-        cls = "REAL"
+        cls = "REAL"  # integers among reals become reals: a class for each row would take arithmetic out of codegen
     elif len(classes) == 1:
         cls = next(iter(classes))
     else:
-        raise Unsupported("a result of mixed classes")
+        cls = "ANY"
     out = []
     for e in items:
         if e.cls == "NULL":
             out.append(NULLS[cls])
+        elif cls == "ANY":
+            out.append(any_of(e))
         elif cls == "REAL":
             out.append(real(e))
         else:

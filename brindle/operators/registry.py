@@ -42,7 +42,7 @@ def run_script(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     if last.lstrip().upper().startswith("SELECT"):
         return s.sql(last)
     columns, rows = s.run(last)
-    kinds = {"INT": "long", "REAL": "double", "TEXT": "string", "BLOB": "binary", "NULL": "string"}
+    kinds = {"INT": "long", "REAL": "double", "TEXT": "string", "BLOB": "binary", "NULL": "string", "ANY": "string"}
     return spark.createDataFrame(rows, ", ".join(f"`{c.name}` {kinds[c.cls]}" for c in columns))
 
 

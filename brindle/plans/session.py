@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions.values import E, affinity, constant_stored, ident, known_collation, literal, stored, truth
+from brindle.functions.values import ANY_TYPE, E, affinity, any_of, fits, constant_stored, ident, known_collation, literal, stored, truth
 
 from . import ast as A
 from .errors import DialectError, Unsupported
@@ -19,7 +19,7 @@ from .parser import parse
 from .recursive import Recursion
 
 CLASS_OF = {"INTEGER": "INT", "REAL": "REAL", "TEXT": "TEXT", "BLOB": "BLOB", "NUMERIC": "REAL"}
-SPARK_OF = {"INT": "BIGINT", "REAL": "DOUBLE", "TEXT": "STRING", "BLOB": "BINARY", "NULL": "STRING", "BOOL": "BIGINT"}
+SPARK_OF = {"INT": "BIGINT", "REAL": "DOUBLE", "TEXT": "STRING", "BLOB": "BINARY", "NULL": "STRING", "BOOL": "BIGINT", "ANY": ANY_TYPE}
 
 
 def input_column(f: T.StructField) -> tuple[str, E]:
@@ -44,6 +44,18 @@ def input_column(f: T.StructField) -> tuple[str, E]:
     return f.name, E(f"to_json({x})", "TEXT", "TEXT")
 
 
+ANY_STRUCT = T.StructType([T.StructField("c", T.ByteType()), T.StructField("d", T.DoubleType()), T.StructField("lo", T.LongType()), T.StructField("t", T.StringType()), T.StructField("b", T.BinaryType()), T.StructField("k", T.ByteType())])
+
+
+def plain(v):
+    """A collected value as a Python value of its class."""
+    if isinstance(v, bytearray):
+        return bytes(v)
+    if isinstance(v, Row):
+        return v.t if v.c == 2 else bytes(v.b) if v.c == 3 else int(v.d) + v.lo if v.k == 0 else v.d
+    return v
+
+
 @dataclass
 class TableColumn:
     name: str
@@ -209,7 +221,7 @@ class Session:
             self.keep = False
 
     def collect(self, rel: Rel) -> list[tuple]:
-        return [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in self.spark.sql(rel.sql).collect()]
+        return [tuple(plain(v) for v in r) for r in self.spark.sql(rel.sql).collect()]
 
     def script(self, text: str) -> str:
         """Run a script and render its rows: values joined by |, and a line for each error."""
@@ -340,7 +352,7 @@ class Session:
 
     def put(self, t: Table, data: DataFrame | None) -> None:
         """A table's new version: written out or, if small, held as local rows, so that lineage doesn't grow."""
-        schema = T.StructType([T.StructField("_rowid_", T.LongType())] + [T.StructField(f"c{i}", {"INT": T.LongType(), "REAL": T.DoubleType(), "TEXT": T.StringType(), "BLOB": T.BinaryType()}.get(c.cls, T.StringType())) for i, c in enumerate(t.columns)])
+        schema = T.StructType([T.StructField("_rowid_", T.LongType())] + [T.StructField(f"c{i}", {"INT": T.LongType(), "REAL": T.DoubleType(), "TEXT": T.StringType(), "BLOB": T.BinaryType(), "ANY": ANY_STRUCT}.get(c.cls, T.StringType())) for i, c in enumerate(t.columns)])
         if data is None:
             data, t.rows = self.spark.createDataFrame([], schema), 0
         else:
@@ -490,17 +502,20 @@ class Session:
         columns.append(Column("_rowid_", E(f"{alias}._rowid_", "INT", "INTEGER"), t.name, hidden=True))
         return Scope(columns + (extra or []), ctes=ctes or {})
 
-    def widen(self, t: Table, i: int, cls: str) -> None:
-        """A column without a class yet takes that of its first values; INT widens to REAL where affinity allows."""
+    def widen(self, t: Table, i: int, e: E) -> None:
+        """A column without a class yet takes that of its first values; one that can't hold a value becomes ANY."""
         c = t.columns[i]
+        cls = constant_stored(e, c.aff).cls
         cls = "INT" if cls == "BOOL" else cls
+        if c.cls != "NULL" and not fits(e, c.aff, c.cls):
+            if t.data is not None:
+                t.data = t.data.withColumn(f"c{i}", F.expr(any_of(E(f"c{i}", c.cls))))
+            c.cls = "ANY"
+            return
         if c.cls == "NULL" and cls != "NULL":
             c.cls = cls
             if t.data is not None:
-                t.data = t.data.withColumn(f"c{i}", F.col(f"c{i}").cast(SPARK_OF[cls]))
-        elif c.cls == "INT" and cls == "REAL" and c.aff in ("NUMERIC",):
-            c.cls = "REAL"
-            t.data = t.data.withColumn(f"c{i}", F.col(f"c{i}").cast("double"))
+                t.data = t.data.withColumn(f"c{i}", F.expr(f"CAST(NULL AS {SPARK_OF[cls]})"))
 
     def scope_of(self, s) -> tuple[Lowering, Scope]:
         low = self.lowering()
@@ -527,7 +542,7 @@ class Session:
             src = self.spark.range(1).select()
         for i, o in zip(targets, rel.columns, strict=True):
             if i >= 0 and i != t.rowid_alias:
-                self.widen(t, i, o.cls)
+                self.widen(t, i, E("x", o.cls, o.aff))
         given = {i: E(f"src.k{k}", o.cls, o.aff) for k, (i, o) in enumerate(zip(targets, rel.columns, strict=True))}
         src = src.withColumn("_order_", F.monotonically_increasing_id()).alias("src")
         rid = given.get(t.rowid_alias if t.rowid_alias is not None else -1) or given.get(-1)
@@ -539,7 +554,7 @@ class Session:
             e = given.get(i)
             if e is None:
                 e = low.expr(c.default, Scope()) if c.default is not None else literal(None)
-                self.widen(t, i, e.cls)
+                self.widen(t, i, e)
             columns.append(F.expr(stored(e, c.aff, c.cls)).alias(f"c{i}"))
         # Rows are numbered once: a plan that runs again may number them in another order.
         rows = self.place_rowids(t, self.settled(src.select(*columns)))
@@ -558,11 +573,11 @@ class Session:
                 kinds.append(("INTEGER", "INT"))
                 continue
             for r in rows:
-                self.widen(t, i, constant_stored(r[k], t.columns[i].aff).cls)
+                self.widen(t, i, r[k])
             kinds.append((t.columns[i].aff, t.columns[i].cls))
         sqls = [[stored(e, aff, cls) for e, (aff, cls) in zip(r, kinds, strict=True)] for r in rows]
         outs = [Out(f"column{k + 1}", cls) for k, (_, cls) in enumerate(kinds)]
-        if all(e.is_const for r in rows for e in r):
+        if all(e.is_const for r in rows for e in r) and all(cls != "ANY" for _, cls in kinds):
             return Rel(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(r) + ')' for r in sqls)} AS v({', '.join(f'k{k}' for k in range(len(outs)))})", outs)
         return Rel(" UNION ALL ".join(f"(SELECT {', '.join(f'{x} AS k{k}' for k, x in enumerate(r))})" for r in sqls), outs)
 
@@ -783,8 +798,6 @@ class Session:
             if i == t.rowid_alias or i not in new:
                 out.append(F.col(f"{alias}.c{i}").alias(f"c{i}"))
             else:
-                if c.cls == "NULL" and new[i].cls != "NULL":
-                    self.widen(t, i, new[i].cls)
                 out.append(F.expr(stored(new[i], c.aff, c.cls)).alias(f"c{i}"))
         return out
 
@@ -803,8 +816,11 @@ class Session:
             c.table = s.alias or t.name
         names = ["_rowid_"] + [f"c{i}" for i in range(len(t.columns))]
         where = f" WHERE {low.condition(s.where, scope)}" if s.where is not None else ""
-        view = self.view_of(t.data)
         self.widen_for(t, low, scope, s.sets)
+        scope = self.row_scope(t, "u", ctes=with_scope.ctes)
+        for c in scope.columns:
+            c.table = s.alias or t.name
+        view = self.view_of(t.data)
         texts = self.assignment_sql(t, low, scope, s.sets)
         hit = self.spark.sql(f"SELECT u._rowid_ AS old_, {', '.join(f'{x} AS {n}' for n, x in zip(names, texts, strict=True))} FROM {view} u{where}")
         hit = self.validate(t, hit, s.conflict).cache()
@@ -841,7 +857,7 @@ class Session:
                 except DialectError:
                     raise DialectError(f"no such column: {n}") from None
                 if i >= 0:
-                    self.widen(t, i, low.expr(x, scope).cls)
+                    self.widen(t, i, low.expr(x, scope))
 
     def assignment_sql(self, t: Table, low: Lowering, scope: Scope, sets) -> list[str]:
         new: dict[int, E] = {}

@@ -58,6 +58,22 @@ CHANGES = [
 ]
 
 
+MIXED = """
+CREATE TABLE m(id INTEGER PRIMARY KEY, i INTEGER, r REAL, s TEXT, b BLOB, u);
+INSERT INTO m VALUES (1, 1, 1, 1, 1, 1),(2,'2','2','2','2','2'),(3,'x','y','z','w','v'),(4,2.5,2.5,2.5,2.5,2.5),(5,NULL,NULL,NULL,NULL,NULL),(6,x'41',x'42',x'43',x'44',x'45'),(7,9007199254740993,3.0,'a',9007199254740992.0,9007199254740993);
+SELECT * FROM m ORDER BY id;
+SELECT id, typeof(i), typeof(r), typeof(s), typeof(b), typeof(u) FROM m ORDER BY id;
+SELECT id FROM m ORDER BY u, id; SELECT id FROM m ORDER BY i DESC, id;
+SELECT id FROM m WHERE u > 1 ORDER BY id; SELECT id FROM m WHERE u = '2'; SELECT id FROM m WHERE i = 2; SELECT id FROM m WHERE u < 'w' ORDER BY id;
+SELECT id, u + 1, u || '!', i * 2, length(u), quote(u) FROM m ORDER BY id;
+SELECT u, count(*) FROM m GROUP BY u ORDER BY u; SELECT min(u), max(u), count(u) FROM m; SELECT sum(u), avg(u), total(u) FROM m WHERE id < 5;
+SELECT 1 UNION SELECT 'a' UNION SELECT 2 ORDER BY 1;
+UPDATE m SET u = 'txt' WHERE id = 1; UPDATE m SET i = 'abc' WHERE id = 1; SELECT i, typeof(i), u FROM m WHERE id <= 2 ORDER BY id;
+CREATE TABLE k(a INTEGER, b TEXT); INSERT INTO k VALUES (1,'p'); INSERT INTO k VALUES ('q', 2); INSERT INTO k SELECT b, a FROM k; SELECT a, typeof(a), b, typeof(b) FROM k ORDER BY b, a;
+SELECT id FROM m WHERE u IN (2.5, 'v') ORDER BY id; SELECT CAST(u AS INTEGER), CAST(u AS TEXT) FROM m ORDER BY id
+"""
+
+
 def lines(run, text):
     out = []
     for s in split_script(text):
@@ -90,6 +106,11 @@ def test_changes(spark, text):
     assert sorted(lines(lambda q: (s.run(q) or (0, []))[1], text)) == sorted(lines(lambda q: db.execute(q).fetchall(), text))
 
 
+def test_columns_of_mixed_classes(spark):
+    db, s = sqlite3.connect(":memory:", isolation_level=None), Session(spark)
+    assert lines(lambda q: (s.run(q) or (0, []))[1], MIXED) == lines(lambda q: db.execute(q).fetchall(), MIXED)
+
+
 def test_compensated_sum(spark):
     s = Session(spark, strict_sums=True)
     s.run("CREATE TABLE t(v REAL)")
