@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Bytes of text that a vectorised step holds at once (a longer document is a slice of its own).
 SLICE_BYTES = 1 << 20
+#: Saved tables of at most so many bytes are broadcast; larger ones are shuffled.
+LIGHT_BYTES = 3 << 20
+#: Rows of an Arrow batch at most: rows hold whole documents, and the usual 10,000 would hold too many at once.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +37,11 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path).alias(f"{name}_{self.count}")
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        out.light = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength() <= LIGHT_BYTES
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete saved tables that no later plan reads."""
@@ -46,6 +53,12 @@ class Scratch:
                     path.getFileSystem(conf).delete(path, True)
 
 
+def light(table: DataFrame, *columns: str) -> DataFrame:
+    """A saved table, or columns of it, as the side of a join: broadcast if its size, measured when saved, allows it."""
+    out = table.select(*columns) if columns else table
+    return F.broadcast(out) if getattr(table, "light", False) else out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -90,6 +103,9 @@ def map_arrow(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dict]
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(rows)) > ARROW_ROWS:
+        conf.set(rows, ARROW_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column) if column else batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow
+from .common import Scratch, light, map_arrow
 from .components import connected_components
 from .vectors import packed, stacked
 
@@ -142,7 +142,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     sides = links.select(F.col("u").alias("rep"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("rep"), F.col("u").alias("other")))
     copies = classes.select(F.col("rep").alias("other"), "copies").groupBy("other").agg(F.sum("copies").alias("copies"))
     counts = sides.join(copies, "other").groupBy("rep").agg(F.sum("copies").alias("others"))
-    by_class = classes.join(counts, "rep", "left").join(stars.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    by_class = classes.join(counts, "rep", "left").join(light(stars, F.col("id").alias("rep"), "component"), "rep", "left")
     by_class = by_class.select("vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     by_id = vectors.join(by_class, "vector").groupBy("vec_id").agg(F.max("n").alias("n"), F.min("c").alias("c"))
     out = table.select(F.col("vec_id").cast("long").alias("vec_id")).join(by_id, "vec_id", "left")

@@ -6,10 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, whole_documents
+from .common import Scratch, light, map_arrow, whole_documents
 from .components import connected_components
 from .hashing import U64, Words, grams, long, mix
 
@@ -18,6 +18,8 @@ BINS = BANDS * ROWS
 #: A pair is confirmed on full sets unless its sketches, of BINS entries, agree in less than the threshold minus this:
 #: over six standard deviations, so that none is lost.
 SLACK = 0.22
+#: Centres of a bucket's stars in the first round; each later round takes four times as many.
+CENTRES = 2
 
 _random = np.random.Generator(np.random.PCG64(7))
 #: For an empty bin, the order in which it tries the others.
@@ -106,14 +108,45 @@ def _confirmed(ratio: tuple[int, int]):
     return make
 
 
+def _hashes(size: int):
+    def make(batch: pa.RecordBatch) -> dict:
+        sets = shingle_sets(batch.column("text"), size)
+        return {"doc_id": np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in sets]), "h": long(np.concatenate(sets)) if sets else []}
+
+    return make
+
+
+def _hopeful(docs: DataFrame, members: DataFrame, sketches: DataFrame, size: int, ratio: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Members of open buckets without those that can't be linked with any other there.
+
+    Shingles that no other document of open buckets has are in no intersection: a document of n shingles with r others
+    has at most r in common with one of m shingles, so at most r / (n + m - r). With the smallest m of its bucket that
+    rules out noisy copies of a passage without comparing them with each other, and nothing else.
+    """
+    ids = scratch.save(members.select("doc_id").distinct(), "ids")
+    shared = map_arrow(docs.join(light(ids), "doc_id", "left_semi"), "doc_id long, h long", _hashes(size))
+    alone = scratch.save(shared.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("alone")), "alone")
+    sizes = scratch.save(sketches.join(light(ids), "doc_id").select("doc_id", "n"), "sizes")
+    sized = members.join(light(sizes), "doc_id").join(light(alone), "doc_id", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0)))
+    least = members.join(light(sizes), "doc_id").groupBy("bucket").agg(F.min("n").alias("m"))
+    kept = sized.join(least, "bucket").filter(ratio[1] * F.col("r") >= ratio[0] * (F.col("n") + F.greatest("m", "r") - F.col("r"))).select("bucket", "doc_id", "c")
+    return _open(kept)
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets of several components."""
+    several = members.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
+    return members.join(several, "bucket").select("bucket", "doc_id", "c")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     Documents are linked when intersection / union of their sets of ``size``-word shingles is at least ratio[0] /
     ratio[1], confirmed on full sets. Documents of equal sets are one class, compared once through its smallest id.
-    Class representatives meet in buckets of equal bands; in each round every bucket compares all its members with one
-    centre (then with 2, 4, 8 ... at once) and lets the centres go, until its members are one component or all
-    compared: stars keep pairs in proportion to rows, and no link between different texts that share a bucket is lost.
+    Class representatives meet in buckets of equal bands; in each round every bucket compares all its members with its
+    CENTRES smallest (then with 4, 16 ... times as many) and lets these go, and those that can't be linked with any
+    other, until its members are one component or all compared: stars keep pairs in proportion to rows, and no link between different texts that share a bucket is lost.
     Pairs already in one component aren't compared. A pair at the threshold shares no band with probability below
     1e-5 (at 0.8) or 1e-6 (at 0.85).
 
@@ -127,51 +160,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80
     classes = scratch.save(marks.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = marks.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("key is not null")
     rows = chosen.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket")
-    members = scratch.save(rows.join(shared, "bucket").distinct(), "members")
-    sketches = scratch.save(marks.filter("key is not null").select("doc_id", "n", "sketch").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sketches")
-    sets, links, stars, tested = None, None, None, None
-    centres = 1
+    shared = scratch.save(rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket"), "shared")
+    members = scratch.save(rows.join(light(shared), "bucket").distinct(), "members")
+    ids = scratch.save(members.select("doc_id").distinct(), "ids")
+    sketches = scratch.save(marks.filter("key is not null").select("doc_id", "n", "sketch").join(light(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sketches")
+    stars, centres = None, CENTRES
     while not members.isEmpty():
-        # The centres of every bucket: the smallest id of each of so many parts.
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(centres))
-        heads = scratch.save(members.groupBy("bucket", part.alias("part")).agg(F.min("doc_id").alias("u")).select("bucket", "u"), "centres")
-        pairs = members.join(heads, "bucket").filter("doc_id <> u").select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v"))
+        # Centres: at first the smallest ids of every bucket; then of those outside its largest component, for pairs
+        # inside that need no look. Before the shuffle each task keeps only so many of a bucket.
+        able = members
         if stars is not None:
-            comp = stars.select(F.col("id").alias("u"), F.col("component").alias("cu"))
-            pairs = pairs.join(comp, "u", "left").join(comp.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v", "left")
-            pairs = pairs.filter("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        tested = pairs if tested is None else scratch.save(tested.unionByName(pairs), "tested")
-        left = sketches.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
-        right = sketches.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+            sizes = members.groupBy("bucket", "c").agg(F.count("*").alias("size"))
+            able = members.join(sizes.groupBy("bucket").agg(F.max_by("c", "size").alias("most")), "bucket").filter("c <> most")
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
+        heads = able.withColumn("place", place).filter(F.col("place") <= centres).select("bucket", F.col("doc_id").alias("u"), *([F.col("c").alias("cu")] if stars is not None else []))
+        heads = scratch.save(heads, "centres")
+        pairs = members.join(light(heads), "bucket").filter("doc_id <> u" if stars is None else "c <> cu")
+        pairs = pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
+        side = light(sketches)
+        left = side.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+        right = side.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
         near = scratch.save(map_arrow(pairs.join(left, "u").join(right, "v"), "u long, v long", _agreeing(ratio[0] / ratio[1] - SLACK, ratio), None), "near")
-        ends = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct()
-        if sets is not None:
-            ends = ends.join(sets.select("doc_id"), "doc_id", "left_anti")
-        wanted = docs.join(ends, "doc_id", "left_semi")
-        fresh = scratch.save(map_arrow(wanted, "doc_id long, hashes binary", _sets(size)).dropDuplicates(["doc_id"]), "sets")
-        sets = fresh if sets is None else sets.unionByName(fresh)
+        ends = scratch.save(near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct(), "ends")
+        sets = scratch.save(map_arrow(docs.join(light(ends), "doc_id", "left_semi"), "doc_id long, hashes binary", _sets(size)).dropDuplicates(["doc_id"]), "sets")
         hu, hv = sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hu")), sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hv"))
-        found = scratch.save(map_arrow(near.join(hu, "u").join(hv, "v"), "u long, v long", _confirmed(ratio), None), "links")
-        links = found if links is None else links.unionByName(found)
-        grown = found if stars is None else found.unionByName(stars.select(F.col("id").alias("u"), F.col("component").alias("v")))
-        stars = scratch.save(connected_components(grown, scratch), "stars")
+        found = map_arrow(near.join(hu, "u").join(hv, "v"), "u long, v long", _confirmed(ratio), None)
+        if stars is not None:
+            found = found.unionByName(stars.select(F.col("id").alias("u"), F.col("component").alias("v")))
+        stars = scratch.save(connected_components(found, scratch), "stars")
         # Buckets go on with the members that were no centre, while these are of several components.
-        rest = members.join(heads.withColumnRenamed("u", "doc_id"), ["bucket", "doc_id"], "left_anti")
-        rest = rest.join(stars.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        open_ = rest.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
-        after = scratch.save(rest.join(open_, "bucket").select("doc_id", "bucket"), "members")
-        scratch.drop(members, heads, near)
-        members, centres = after, min(8, 2 * centres)
+        rest = members.select("bucket", "doc_id").join(light(heads, "bucket", F.col("u").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
+        rest = rest.join(light(stars, F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        after = scratch.save(_open(rest), "members")
+        if not after.isEmpty():
+            after = scratch.save(_hopeful(docs, after, sketches, size, ratio, scratch), "members")
+        scratch.drop(members, near, sets, heads)
+        members, centres = after, 4 * centres
     base = marks.select("doc_id", "n", "key").join(classes, "key", "left")
     if stars is None:
         base = base.withColumns({"component": F.lit(None).cast("long")})
     else:
-        base = base.join(stars.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        base = base.join(light(stars, F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     out = base.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

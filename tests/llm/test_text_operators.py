@@ -256,3 +256,27 @@ def test_lm_score_is_the_sum_of_conditionals():
     for _ in range(200):
         net.learn(context, classes, 0.5)
     assert loss() < before / 2
+
+
+def test_near_copies_of_varying_noise(spark, monkeypatch):
+    """A large group of copies, some too noisy to be linked, some linked only through others: no link is lost."""
+    r = np.random.default_rng(8)
+    base = body(9, 150, 100_000).split()
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for k in r.choice(150, int(r.integers(0, 16)), replace=False):
+            words[k] = f"x{r.integers(0, 40)}"
+        rows.append((i, " ".join(words)))
+    s = sets(rows, 3)
+    root = {i: i for i in s}
+    for _ in range(20):
+        for a, b in itertools.combinations(s, 2):
+            both = len(s[a] & s[b])
+            if 100 * both >= 85 * (len(s[a]) + len(s[b]) - both):
+                root[a] = root[b] = min(root[a], root[b])
+    for one_task in (500_000, 0):
+        monkeypatch.setattr("brindle.llm.components.ONE_TASK", one_task)
+        got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100)).collect()}
+        assert got == root
+    assert len(set(root.values())) > 5
