@@ -40,7 +40,7 @@ def _powers_to(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
             x[0] = 1
             made.append(np.cumprod(x, dtype=U64))
         have = (made[0], made[1])
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[lane] = have
     return have
 

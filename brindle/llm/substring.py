@@ -15,8 +15,8 @@ from .hashing import U64, Words, grams, long
 
 #: Words of a minimiser.
 MINIMISER = 8
-#: Occurrences from which a minimiser's windows are counted by their own hash instead of in one bucket.
-HOT = 400
+#: Windows from which a minimiser's are counted by their own hashes instead of in one bucket.
+HOT = 4000
 
 _SPANS = "array<struct<mh:long,start:int,n:int,hot:boolean>>"
 
@@ -159,12 +159,12 @@ def repeated_spans(docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
        those super-k-mers go on as packed strings.
     3. Equal strings are reduced, before the shuffle too, to their first occurrence; the windows of others start earlier.
     4. Strings of a minimiser meet in its bucket, where sorting finds every window that starts earlier. A minimiser
-       of more than HOT super-k-mers would make a large bucket: its windows are dealt by their own hashes instead, and
+       of more than HOT windows would make a large bucket: its windows are dealt by their own hashes instead, and
        counted by a partial aggregation.
     """
     marks = scratch.save(map_arrow(docs, "mh long, doc_id long, start int, n int, twice boolean", _minimisers(k)), "minimisers")
-    often = marks.groupBy("mh").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).filter("c > 1 or twice")
-    chosen = marks.join(often.select("mh", (F.col("c") > HOT).alias("hot")), "mh")
+    often = marks.groupBy("mh").agg(F.count("*").alias("c"), F.max("twice").alias("twice"), F.sum("n").alias("windows")).filter("c > 1 or twice")
+    chosen = marks.join(often.select("mh", (F.col("windows") > HOT).alias("hot")), "mh")
     spans = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("mh", "start", "n", "hot")).alias("spans"))
     packed = map_arrow(docs.join(spans, "doc_id"), "mh long, hot boolean, doc_id long, start int, n int, digest binary, words string", _pack(k))
     packed = scratch.save(packed, "strings")
