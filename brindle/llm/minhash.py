@@ -18,7 +18,7 @@ BINS = BANDS * ROWS
 #: A pair is confirmed on full sets unless its sketches, of BINS entries, agree in less than the threshold minus this:
 #: over six standard deviations, so that none is lost.
 SLACK = 0.22
-#: Centres of a bucket's stars in the first round; each later round takes four times as many.
+#: Centres of a bucket's stars in the first round; each later round takes up to eight times as many.
 CENTRES = 2
 
 _random = np.random.Generator(np.random.PCG64(7))
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80
     Documents are linked when intersection / union of their sets of ``size``-word shingles is at least ratio[0] /
     ratio[1], confirmed on full sets. Documents of equal sets are one class, compared once through its smallest id.
     Class representatives meet in buckets of equal bands; in each round every bucket compares all its members with its
-    CENTRES smallest (then with 4, 16 ... times as many) and lets these go, and those that can't be linked with any
+    CENTRES smallest (then with up to 8, 64 ... times as many) and lets these go, and those that can't be linked with any
     other, until its members are one component or all compared: stars keep pairs in proportion to rows, and no link between different texts that share a bucket is lost.
     Pairs already in one component aren't compared. A pair at the threshold shares no band with probability below
     1e-5 (at 0.8) or 1e-6 (at 0.85).
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80
         if not after.isEmpty():
             after = scratch.save(_hopeful(docs, after, sketches, size, ratio, scratch), "members")
         scratch.drop(members, near, sets, heads)
-        members, centres = after, 4 * centres
+        members, centres = after, 8 * centres
     base = marks.select("doc_id", "n", "key").join(classes, "key", "left")
     if stars is None:
         base = base.withColumns({"component": F.lit(None).cast("long")})
