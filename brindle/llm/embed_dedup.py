@@ -1,9 +1,8 @@
-"""Embedding near-duplicates by sorted projection passes."""
+"""Embedding near-duplicates by whole buckets of random hyperplane bits."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,88 +13,133 @@ from .common import Scratch, light, map_arrow
 from .components import connected_components
 from .vectors import packed, stacked
 
-#: Neighbours a vector is compared with in each pass, rows of a block, and bits of a sort key.
-WINDOW, BLOCK, BITS = 1024, 2048, 60
+#: Rows of a bucket if hash bits split evenly; rows of a part of a larger bucket.
+WINDOW, BLOCK = 1024, 2048
 #: Probability of missing a pair at the threshold, over all passes.
 MISS = 1e-5
+#: Rows compared with a part at once.
+TILE = 256
+
+
+def bits_for(count: int) -> int:
+    """Hash bits of a bucket, so many that even buckets of ``count`` rows have at most WINDOW."""
+    return max(0, math.ceil(math.log2(max(count, 1) / WINDOW)))
 
 
 def passes_for(count: int, threshold: float) -> int:
-    """Passes after which a pair at the threshold has shared a window with probability 1 - MISS.
+    """Passes after which a pair at the threshold has shared a bucket with probability 1 - MISS.
 
-    Two vectors at angle a agree in a random hash bit with probability 1 - a / pi; they are within a window if they
-    agree in as many first bits as leave WINDOW of ``count`` rows together.
+    Two vectors at angle a agree in a random hash bit with probability 1 - a / pi, whatever the other vectors are.
+    Buckets are compared whole, so that a pair meets once it agrees in all bits of one pass.
     """
-    if count <= WINDOW:
-        return 1
-    met = (1 - math.acos(threshold) / math.pi) ** math.log2(count / WINDOW)
-    return max(2, math.ceil(math.log(MISS) / math.log(1 - met)))
+    met = (1 - math.acos(threshold) / math.pi) ** bits_for(count)
+    return 1 if met == 1 else math.ceil(math.log(MISS) / math.log(1 - met))
 
 
-def _keys(passes: int):
-    """A row for each pass: its hash bits, first bit highest, as a sort key. Planes depend on pass and dimension only."""
+def _codes(batch: pa.RecordBatch, passes: int, bits: int):
+    """(dim, rows of the batch, matrix of their bucket in each pass) a dimension. Planes depend on it and pass only."""
+    dims, vectors = batch.column("dim").to_numpy(), batch.column("vector").to_pylist()
+    for d in np.unique(dims):
+        rows = np.flatnonzero(dims == d)
+        x = stacked([vectors[i] for i in rows])
+        planes = np.random.Generator(np.random.PCG64([20240301, int(d)])).standard_normal((passes * bits, x.shape[1]))
+        sides = (x @ planes.T >= 0).reshape(len(rows), passes, bits)
+        yield d, rows, (sides @ (np.int64(1) << np.arange(bits, dtype=np.int64))).reshape(len(rows), passes)
 
+
+def _sizes(passes: int, bits: int):
     def make(batch: pa.RecordBatch) -> dict:
-        ids, dims, vectors = batch.column("vec_id").to_numpy(), batch.column("dim").to_numpy(), batch.column("vector").to_pylist()
-        order = []
-        keys = []
-        for d in np.unique(dims):
-            rows = np.flatnonzero(dims == d)
-            x = stacked([vectors[i] for i in rows])
-            planes = np.random.Generator(np.random.PCG64([20240301, int(d)])).standard_normal((passes * BITS, x.shape[1]))
-            bits = (x @ planes.T >= 0).reshape(len(rows), passes, BITS)
-            keys.append(bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)))
-            order.append(rows)
-        if not order:
-            return {x: [] for x in ("pass", "dim", "key", "vec_id", "vector")}
-        order, keys = np.concatenate(order), np.concatenate(keys)
-        again = np.repeat(order, passes)
-        return {"pass": np.tile(np.arange(passes, dtype=np.int32), len(order)), "dim": dims[again], "key": keys.reshape(-1), "vec_id": ids[again], "vector": [vectors[i] for i in again]}
+        out = {x: [] for x in ("pass", "dim", "code", "n")}
+        for d, _, codes in _codes(batch, passes, bits):
+            for p in range(passes):
+                code, n = np.unique(codes[:, p], return_counts=True)
+                for name, x in (("pass", np.full(len(code), p)), ("dim", np.full(len(code), d)), ("code", code), ("n", n)):
+                    out[name].append(x)
+        return {k: np.concatenate(x) if x else [] for k, x in out.items()}
 
     return make
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _keys(passes: int, bits: int):
+    """A row for each pass: its bucket, and the buckets of all passes."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        out = {x: [] for x in ("pass", "dim", "code", "rep", "copies", "codes", "vector")}
+        reps, copies, vectors = batch.column("rep").to_numpy(), batch.column("copies").to_numpy(), batch.column("vector").to_pylist()
+        for d, rows, codes in _codes(batch, passes, bits):
+            again = np.repeat(rows, passes)
+            packs = [x.tobytes() for x in codes]
+            out["pass"].append(np.tile(np.arange(passes), len(rows)))
+            out["dim"].append(np.full(len(again), d))
+            out["code"].append(codes.reshape(-1))
+            out["rep"].append(reps[again])
+            out["copies"].append(copies[again])
+            out["codes"] += [x for x in packs for _ in range(passes)]
+            out["vector"] += [vectors[i] for i in again]
+        return {k: x if k in ("codes", "vector") or not x else np.concatenate(x) for k, x in out.items()}
+
+    return make
 
-    part, done = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.num_rows
-        columns = [batch.column(x) for x in ("pass", "dim", "vec_id", "vector")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(done, done + n))], names=["pass", "dim", "vec_id", "vector", "part", "place"])
-        done += n
 
+def _compared(threshold: float):
+    """Links of a part of a bucket, or between two: (id, null, linked vectors) of each class, and (id, other, null) to join what is linked.
 
-def _window_pairs(threshold: float):
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    A pair that shares the bucket of an earlier pass is left to it, so that each is counted once. What is returned is
+    linear in rows: edges are a spanning forest of the links.
+    """
+    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("place")
-        place, ids, kind = (rows.column(x).to_numpy() for x in ("place", "vec_id", "kind"))
-        vectors = rows.column("vector").to_pylist()
-        us, vs = [], []
-        for t in np.unique(kind):
-            at = np.flatnonzero(kind == t)
-            x = stacked([vectors[i] for i in at])
-            unit = x / np.linalg.norm(x, axis=1)[:, None]
-            where, own = place[at], rows.column("own").to_numpy()[at]
-            for a in range(0, len(at), 256):
-                b = min(a + 256, len(at))
-                stop = int(np.searchsorted(where, where[b - 1] + WINDOW, side="right"))
-                cosine = unit[a:b] @ unit[a:stop].T
-                near = cosine >= threshold - 1e-9
-                gap = where[a:stop][None, :] - where[a:b][:, None]
-                i, j = np.nonzero(near & (gap > 0) & (gap <= WINDOW) & own[a:b][:, None])
-                edge = np.abs(cosine[i, j] - threshold) <= 1e-9
-                if edge.any():
-                    p, q = x[a:b][i], x[a:stop][j]
-                    exact = np.einsum("ij,ij->i", p, q) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1))
-                    keep = ~edge | (exact >= threshold)
-                    i, j = i[keep], j[keep]
-                us.append(ids[at[a + i]])
-                vs.append(ids[at[a + j]])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.Table.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=schema)
+        size = rows.num_rows
+        own, a, b = (rows.column(x)[0].as_py() for x in ("pass", "a", "b"))
+        part, ids, copies = (rows.column(x).to_numpy() for x in ("part", "rep", "copies"))
+        x = stacked(rows.column("vector").to_pylist())
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.int64).reshape(size, -1)
+        left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
+        linked, label = np.zeros(size, np.int64), np.arange(size)
+        for at in range(0, len(left), TILE):
+            r = left[at : at + TILE]
+            s = right[at:] if a == b else right
+            cosine = unit[r] @ unit[s].T
+            near = cosine >= threshold - 1e-9
+            if a == b:
+                near &= s[None, :] > r[:, None]
+            if own:
+                near &= codes[r, 0][:, None] != codes[s, 0][None, :]
+            i, j = np.nonzero(near)
+            for p in range(1, own):
+                if not len(i):
+                    break
+                keep = codes[r[i], p] != codes[s[j], p]
+                i, j = i[keep], j[keep]
+            keep = ids[r[i]] != ids[s[j]]
+            i, j = i[keep], j[keep]
+            edge = np.abs(cosine[i, j] - threshold) <= 1e-9
+            if edge.any():
+                p, q = x[r[i]], x[s[j]]
+                exact = np.einsum("ij,ij->i", p, q) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1))
+                keep = ~edge | (exact >= threshold)
+                i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            u, v = r[i], s[j]
+            linked += np.bincount(u, copies[v], size).astype(np.int64) + np.bincount(v, copies[u], size).astype(np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+            for first, last in zip(starts, [*starts[1:], len(u)], strict=True):
+                joined = np.append(label[v[first:last]], label[u[first]])
+                to = np.arange(size)
+                to[joined] = joined.min()
+                label = to[label]
+        some, moved = np.flatnonzero(linked), np.flatnonzero(label != np.arange(size))
+        return pa.Table.from_arrays(
+            [
+                pa.array(np.concatenate((ids[some], ids[moved]))),
+                pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[label[moved]])]),
+                pa.concat_arrays([pa.array(linked[some]), pa.nulls(len(moved), pa.int64())]),
+            ],
+            schema=schema,
+        )
 
     return run
 
@@ -104,10 +148,11 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``table`` (vec_id, embedding).
 
     Two vectors are linked when a pass finds them and their cosine in double precision is at least ``threshold``.
-    Each pass sorts all vectors by one concatenation of random hyperplane bits and compares each with the WINDOW that
-    follow it; the number of passes grows with the logarithm of rows. Equal vectors are one class, compared once and
-    counted as often as they occur, so copies never fill a window. Ranks are cut in blocks that also hold the
-    window of the next one: tasks are even whatever groups there are, and pairs at most WINDOW a row and pass.
+    Each pass deals all vectors in buckets by random hyperplane bits and compares each bucket whole, however many
+    vectors are in it: a bucket of over BLOCK is cut in parts, and each two of them meet in a task. So no pair's chance
+    depends on what else lies near it; the number of passes grows with rows. Tasks compare at most some 2 * BLOCK rows
+    and return counts and a spanning forest, not pairs. Equal vectors are one class, compared once and counted as often
+    as they occur. A group of near but unequal vectors costs time with the square of its size, as its links do.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: 0 links and their own
     component. Vectors of different lengths aren't compared. Rows with a null vec_id link with nothing and have a null
@@ -117,31 +162,22 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     scratch = Scratch(spark, "vectors")
     vectors = scratch.save(packed(table, lambda x: x if np.any(x != 0) and np.isfinite(np.dot(x, x)) and np.dot(x, x) > 0 else None), "vectors")
     classes = scratch.save(vectors.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")), "classes")
-    distinct = classes.select(F.col("rep").alias("vec_id"), F.length("vector").alias("dim"), "vector")
+    distinct = classes.select("rep", "copies", F.length("vector").alias("dim"), "vector")
     count = classes.count()
-    passes = passes_for(count, threshold)
-    parts = max(1, min(-(-count * passes // (4 * BLOCK)), 20_000))
-    keyed = map_arrow(distinct, "pass int, dim int, key long, vec_id long, vector binary", _keys(passes), None)
-    ordered = keyed.repartitionByRange(parts, "pass", "dim", "key", "vec_id").sortWithinPartitions("pass", "dim", "key", "vec_id")
-    ordered = scratch.save(ordered.mapInArrow(_numbered, "pass int, dim int, vec_id long, vector binary, part int, place long"), "sorted")
-    sizes = sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect())
-    starts, total = [], 0
-    for part, n in sizes:
-        starts.append((part, total))
-        total += n
-    offsets = spark.createDataFrame(starts, "part int, base long")  # a row for each of a bounded number of partitions
-    ranked = ordered.join(F.broadcast(offsets), "part").withColumn("place", F.col("place") + F.col("base"))
-    block = F.floor(F.col("place") / BLOCK)
-    blocks = F.when((F.col("place") % BLOCK < WINDOW) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    dealt = ranked.withColumn("block", F.explode(blocks)).select("block", "place", (block == F.col("block")).alias("own"), F.struct("pass", "dim").alias("k"), "vec_id", "vector")
-    dealt = dealt.select("block", "place", "own", (F.col("k.pass").cast("long") * (1 << 31) + F.col("k.dim")).alias("kind"), "vec_id", "vector")
-    pairs = dealt.groupBy("block").applyInArrow(_window_pairs(threshold), "u long, v long")
-    links = scratch.save(pairs.distinct(), "links")
-    scratch.drop(ordered)
+    passes, bits = passes_for(count, threshold), bits_for(count)
+    bucket = ["pass", "dim", "code"]
+    sizes = map_arrow(distinct.select("dim", "vector"), "pass int, dim int, code long, n long", _sizes(passes, bits), None)
+    large = sizes.groupBy(*bucket).agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK)
+    large = scratch.save(large.select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "large")
+    keyed = map_arrow(distinct, "pass int, dim int, code long, rep long, copies long, codes binary, vector binary", _keys(passes, bits), None)
+    dealt = keyed.join(light(large), bucket, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep", "vector"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(*bucket, F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"), "part", "rep", "copies", "codes", "vector")
+    found = scratch.save(dealt.groupBy(*bucket, "a", "b").applyInArrow(_compared(threshold), "id long, other long, n long"), "links")
+    links = found.filter("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v"))
     stars = scratch.save(connected_components(links, scratch), "stars")
-    sides = links.select(F.col("u").alias("rep"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("rep"), F.col("u").alias("other")))
-    copies = classes.select(F.col("rep").alias("other"), "copies").groupBy("other").agg(F.sum("copies").alias("copies"))
-    counts = sides.join(copies, "other").groupBy("rep").agg(F.sum("copies").alias("others"))
+    counts = found.filter("other IS NULL").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("others"))
     by_class = classes.join(counts, "rep", "left").join(light(stars, F.col("id").alias("rep"), "component"), "rep", "left")
     by_class = by_class.select("vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     by_id = vectors.join(by_class, "vector").groupBy("vec_id").agg(F.max("n").alias("n"), F.min("c").alias("c"))

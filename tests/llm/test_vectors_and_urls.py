@@ -70,6 +70,20 @@ def test_near_vectors(table, vectors, monkeypatch, window, block):
             assert r.n_links == len(links.get(r.vec_id, ()))
 
 
+def test_links_of_a_dense_group(spark):
+    """More noisy copies than a window holds: each is linked with all others."""
+    r = np.random.default_rng(11)
+    x = r.standard_normal((1900, 16))
+    x[100:1700] = x[100] * r.uniform(0.5, 2, (1600, 1)) + 0.02 * r.standard_normal((1600, 16))
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(1900)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert (want[100:1700] >= 1500).all()
+    got = {v.vec_id: v for v in embed_dedup.near_vectors(table).collect()}
+    assert [got[i].n_links for i in range(1900)] == want.tolist()
+    assert {got[i].component_id for i in range(100, 1700)} == {100}
+
+
 def test_empty_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.near_vectors(none).count() == 0 and topk.top_k(none).count() == 0
