@@ -14,31 +14,46 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow, slices, whole_documents
 from .hashing import Words, long
 
-#: Words with an own input; hashed inputs of all others; words that are output classes of their own; all classes.
-VOCABULARY, HASHED, HEAD, CLASSES = 8192, 1024, 20, 32
-#: Words on either side, width of an input vector, tokens of an update, rounds of averaging, first step size.
-SIDE, WIDTH, MINIBATCH, ROUNDS, RATE = 2, 16, 4096, 1, 0.5
-INPUTS = VOCABULARY + HASHED + 1
+#: Classes of outputs, and outputs of a class; words with an own input and output; inputs and outputs that others share.
+SPLIT = 96
+HASHED = SPLIT * SPLIT // 9
+VOCABULARY, CLASSES = SPLIT * SPLIT - HASHED, SPLIT * SPLIT
+#: Words on either side, width of an input vector, tokens of an update and of a look, rounds of averaging, first step size.
+SIDE, WIDTH, MINIBATCH, SCORED, ROUNDS, RATE = 2, 16, 4096, 32768, 1, 0.5
+INPUTS = 1 + VOCABULARY + HASHED
 #: Parameters of a piece that is summed in one group.
 PIECE = 4096
-#: The last input stands for what lies beyond the document's edge.
-EDGE = INPUTS - 1
+#: The first input stands for what lies beyond the document's edge.
+EDGE = 0
 
 
 class Network:
-    """softmax(tanh(inputs of the window, side by side, @ W) @ O + b) over the classes of the masked word."""
+    """softmax over classes times softmax over the words of the class, both from tanh(inputs of the window, side by side, @ W).
+
+    Output k is number k // SPLIT of class k % SPLIT: frequent words are in different classes.
+    """
 
     def __init__(self, arrays: list[np.ndarray] | None = None):
         if arrays is None:
             random = np.random.Generator(np.random.PCG64(11))
-            arrays = [random.normal(0, 0.3, (INPUTS, WIDTH)), random.normal(0, 0.15, (2 * SIDE * WIDTH, WIDTH)), random.normal(0, 0.1, (WIDTH, CLASSES)), np.zeros(CLASSES)]
-        self.e, self.w, self.o, self.b = (np.array(a, np.float32) for a in arrays)
+            sizes = (0.3, (INPUTS, WIDTH)), (0.15, (2 * SIDE * WIDTH, WIDTH)), (0.1, (WIDTH, SPLIT)), (0, SPLIT), (0.1, (SPLIT, WIDTH, SPLIT)), (0, (SPLIT, SPLIT))
+            arrays = [random.normal(0, scale, shape) for scale, shape in sizes]
+        self.e, self.w, self.o, self.b, self.words, self.word_b = (np.array(a, np.float32) for a in arrays)
+        self.width, self.split = self.o.shape
+        self.bound = 48 / self.width  # so that exp can't overflow
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.e, self.w, self.o, self.b]
+        return [self.e, self.w, self.o, self.b, self.words, self.word_b]
+
+    def start_from(self, mass: np.ndarray) -> None:
+        """Biases that give every output its share of ``mass`` whatever the context."""
+        rows = mass.reshape(self.split, self.split).T  # a row for each class
+        share = rows.sum(axis=1)
+        self.b[:] = np.clip(np.log(share / share.sum()), -12, 12)
+        self.word_b[:] = np.clip(np.log(rows / share[:, None]), -20, 20)
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, hidden, logits) for rows of 2 * SIDE inputs. O and b are bounded, so that exp can't overflow."""
+        """(inputs, hidden, logits of classes) for rows of 2 * SIDE inputs."""
         x = self.e.take(context.reshape(-1), axis=0).reshape(len(context), -1)
         hidden = x @ self.w
         np.tanh(hidden, out=hidden)
@@ -46,25 +61,64 @@ class Network:
         logits += self.b
         return x, hidden, logits
 
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Order of targets by class, their numbers in it, and (class, first, last) of each class that occurs."""
+        classes = (target % self.split).astype(np.uint16)  # sorted by radix
+        order = np.argsort(classes, kind="stable")
+        ends = np.cumsum(np.bincount(classes, minlength=self.split)).tolist()
+        return order, target[order] // self.split, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        logits = self.forward(context)[2]
-        own = logits[np.arange(len(target)), target].astype(np.float64)
+        _, hidden, logits = self.forward(context)
+        ones = np.ones(self.split, np.float32)
+        own = logits[np.arange(len(target)), target % self.split].astype(np.float64)
         np.exp(logits, out=logits)
-        return own - np.log(logits @ np.ones(CLASSES, np.float32))
+        own -= np.log(logits @ ones)
+        order, number, spans = self._by_class(target)
+        hidden = hidden.take(order, axis=0)
+        word, total = np.empty(len(target), np.float32), np.empty(len(target), np.float32)
+        for c, a, b in spans:
+            z = hidden[a:b] @ self.words[c]
+            z += self.word_b[c]
+            word[a:b] = z[np.arange(b - a), number[a:b]]
+            np.exp(z, out=z)
+            total[a:b] = z @ ones
+        own[order] += word - np.log(total.astype(np.float64))
+        return own
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step down the mean cross-entropy."""
         x, hidden, d = self.forward(context)
+        step = np.float32(rate / len(target))
+        ones = np.ones((self.split, 1), np.float32)
         np.exp(d, out=d)
-        d *= np.float32(rate / len(target)) / (d @ np.ones((CLASSES, 1), np.float32))
-        d[np.arange(len(target)), target] -= np.float32(rate / len(target))
+        d *= step / (d @ ones)
+        d[np.arange(len(target)), target % self.split] -= step
         back = d @ self.o.T
+        order, number, spans = self._by_class(target)
+        sorted_hidden = hidden.take(order, axis=0)
+        word_back = np.empty_like(sorted_hidden)
+        for c, first, last in spans:
+            h, words = sorted_hidden[first:last], self.words[c]
+            z = h @ words
+            z += self.word_b[c]
+            np.exp(z, out=z)
+            z *= step / (z @ ones)
+            z[np.arange(last - first), number[first:last]] -= step
+            np.matmul(z, words.T, out=word_back[first:last])
+            # A class is rare in a minibatch, so its words' step is larger, up to that of a minibatch of its own.
+            more = np.float32(min(32, len(target) / (last - first)))
+            words -= more * (h.T @ z)
+            self.word_b[c] -= more * z.sum(axis=0)
+            np.clip(words, -self.bound, self.bound, out=words)
+        np.clip(self.word_b, -20, 20, out=self.word_b)
+        back[order] += word_back
         hidden_square = hidden * hidden
         back -= back * hidden_square
         pull = back @ self.w.T
         self.o -= hidden.T @ d
         self.b -= d.sum(axis=0)
-        np.clip(self.o, -3, 3, out=self.o)
+        np.clip(self.o, -self.bound, self.bound, out=self.o)
         np.clip(self.b, -12, 12, out=self.b)
         self.w -= x.T @ back
         # Rows of one input meet: they are summed before they are taken off. Inputs are rare in a minibatch, so their
@@ -73,38 +127,33 @@ class Network:
         order = np.argsort(at, kind="stable")
         at = at[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        step = np.add.reduceat(pull.reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
+        step = np.add.reduceat(pull.reshape(-1, self.width).take(order, axis=0), first, axis=0)
         step *= 32
         self.e[at[first]] -= np.clip(step, -0.5, 0.5, out=step)
 
 
 class Vocabulary:
-    """The corpus's most frequent words by hash, with their counts; others fall in hashed inputs and classes."""
+    """The corpus's most frequent words by hash, each an output of its own; others fall in hashed inputs and outputs."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         order = np.argsort(hashes)
         self.sorted, self.rank = hashes[order], order
-        rest = CLASSES - HEAD
-        known_class = np.where(np.arange(len(hashes)) < HEAD, np.arange(len(hashes)), HEAD + (hashes.view(np.uint64) % np.uint64(rest)).astype(np.int64))
-        # Within a class, a word's share; unknown words share evenly what the known leave, as one of all their kind.
+        # Unknown words share evenly what the known leave, as one of all their kind.
         left, unknown = max(0, total - int(counts.sum())), max(1, distinct - len(hashes))
-        mass = np.bincount(known_class, weights=counts, minlength=CLASSES) if len(hashes) else np.zeros(CLASSES)
-        mass[HEAD:] += (left + 1) / rest
-        self.known_class, self.log_share = known_class, np.log(counts / mass[known_class]) if len(hashes) else np.zeros(0)
-        self.log_unknown = np.log((left + 1) / unknown / np.maximum(mass, 1e-9))
+        self.mass = np.full(CLASSES, 1e-3)
+        self.mass[: len(hashes)] = counts
+        self.mass[VOCABULARY:] = (left + 1) / HASHED
+        self.log_unknown = -math.log(max(1, unknown / HASHED))
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(input, class, log share within the class) of each word hash."""
-        u = h.view(np.uint64)
-        inputs = VOCABULARY + (u % np.uint64(HASHED)).astype(np.int64)
-        classes = HEAD + (u % np.uint64(CLASSES - HEAD)).astype(np.int64)
-        share = self.log_unknown[classes]
+        """(input, output, log share of the output) of each word hash."""
+        outputs = VOCABULARY + (h.view(np.uint64) % np.uint64(HASHED)).astype(np.int64)
+        share = np.full(len(h), self.log_unknown)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
             hit = self.sorted[at] == h
-            rank = self.rank[at[hit]]
-            inputs[hit], classes[hit], share[hit] = rank, self.known_class[rank], self.log_share[rank]
-        return inputs, classes, share
+            outputs[hit], share[hit] = self.rank[at[hit]], 0
+        return outputs + 1, outputs, share
 
 
 def windows(words: Words, inputs: np.ndarray) -> np.ndarray:
@@ -168,6 +217,7 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Vocabulary, Network]:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     vocabulary = Vocabulary(np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.float64), total, distinct)
     net = Network()
+    net.start_from(vocabulary.mass)
     shapes = [x.shape for x in net.arrays()]
     for r in range(ROUNDS):
         state = spark.sparkContext.broadcast(pickle.dumps((vocabulary, net.arrays())))
@@ -192,7 +242,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, score, mean_score) of every row of ``docs`` (doc_id, text).
 
     ``score`` sums, over all words of the whole text, the natural log of the word's probability given SIDE words on
-    either side, the word itself masked: its class by the network, times its share of the class in the corpus.
+    either side, the word itself masked: the network gives each frequent word a probability of its own, and to the
+    groups of others, where it is times the word's share of its group in the corpus.
     ``mean_score`` is the score a word. Null texts, and those without words, have 0 tokens, score 0 and a null mean.
     Every row gives one row; null and repeated doc_ids pass through, repeated rows score alike.
     """
@@ -205,8 +256,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         inputs, classes, share = vocabulary.look(long(words.hashes()))
         context = windows(words, inputs)
         log_p = share.astype(np.float64)
-        for a in range(0, len(classes), MINIBATCH):
-            s = slice(a, a + MINIBATCH)
+        for a in range(0, len(classes), SCORED):
+            s = slice(a, a + SCORED)
             log_p[s] += net.log_probability(context[s], classes[s])
         n = words.counts()
         score = np.bincount(words.row, weights=log_p, minlength=batch.num_rows)

@@ -258,6 +258,19 @@ def test_lm_score_is_the_sum_of_conditionals():
     assert loss() < before / 2
 
 
+def test_lm_tells_words_of_equal_count_apart():
+    """Each of 120 words follows a word of its own: the context gives it more than a share of a group of words."""
+    words = Words(pa.array([f"left{i} right{i}" for i in range(120)]), lower=True)
+    h = words.hashes().view(np.int64)
+    u, n = np.unique(h, return_counts=True)
+    vocabulary, net = masked_lm.Vocabulary(u, n.astype(float), len(h), len(u)), masked_lm.Network()
+    inputs, outputs, share = vocabulary.look(h)
+    context = masked_lm.windows(words, inputs)
+    for _ in range(1500):
+        net.learn(context, outputs, 0.5)
+    assert (net.log_probability(context, outputs) + share).mean() > -1.5
+
+
 def test_near_copies_of_varying_noise(spark, monkeypatch):
     """A large group of copies, some too noisy to be linked, some linked only through others: no link is lost."""
     r = np.random.default_rng(8)
