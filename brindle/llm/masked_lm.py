@@ -14,29 +14,41 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow, slices, whole_documents
 from .hashing import Words, long
 
-#: Classes of outputs, and outputs of a class; words with an own input and output; inputs and outputs that others share.
-SPLIT = 96
-HASHED = SPLIT * SPLIT // 9
-VOCABULARY, CLASSES = SPLIT * SPLIT - HASHED, SPLIT * SPLIT
-#: Words on either side, width of an input vector, tokens of an update and of a look, rounds of averaging, first step size.
+#: Classes of outputs, and outputs of a class, at least; all outputs then; words with known counts for each with an own output.
+SPLIT, KNOWN = 96, 16
+CLASSES = SPLIT * SPLIT
+#: Words on either side, least width of an input vector, tokens of an update and of a look, rounds of averaging, first step size.
 SIDE, WIDTH, MINIBATCH, SCORED, ROUNDS, RATE = 2, 16, 4096, 32768, 1, 0.5
-INPUTS = 1 + VOCABULARY + HASHED
 #: Parameters of a piece that is summed in one group.
 PIECE = 4096
 #: The first input stands for what lies beyond the document's edge.
 EDGE = 0
 
 
+def split_for(total: int) -> int:
+    """Classes for a corpus of ``total`` words: words with an output of their own grow with its square root."""
+    return max(SPLIT, 3 * round((9 / 8) ** 0.5 * total**0.25 / 3))
+
+
+def width_for(total: int) -> int:
+    return max(WIDTH, 4 * round(4 * (total / 2**27) ** 0.125))
+
+
+def shared(split: int) -> int:
+    """Outputs (and inputs) that words share; the others are words' own."""
+    return split * split // 9
+
+
 class Network:
     """softmax over classes times softmax over the words of the class, both from tanh(inputs of the window, side by side, @ W).
 
-    Output k is number k // SPLIT of class k % SPLIT: frequent words are in different classes.
+    Output k is number k // split of class k % split: frequent words are in different classes.
     """
 
-    def __init__(self, arrays: list[np.ndarray] | None = None):
+    def __init__(self, arrays: list[np.ndarray] | None = None, split: int = SPLIT, width: int = WIDTH):
         if arrays is None:
             random = np.random.Generator(np.random.PCG64(11))
-            sizes = (0.3, (INPUTS, WIDTH)), (0.15, (2 * SIDE * WIDTH, WIDTH)), (0.1, (WIDTH, SPLIT)), (0, SPLIT), (0.1, (SPLIT, WIDTH, SPLIT)), (0, (SPLIT, SPLIT))
+            sizes = (0.3, (1 + split * split, width)), (0.15, (2 * SIDE * width, width)), (0.1, (width, split)), (0, split), (0.1, (split, width, split)), (0, (split, split))
             arrays = [random.normal(0, scale, shape) for scale, shape in sizes]
         self.e, self.w, self.o, self.b, self.words, self.word_b = (np.array(a, np.float32) for a in arrays)
         self.width, self.split = self.o.shape
@@ -133,33 +145,56 @@ class Network:
 
 
 class Vocabulary:
-    """The corpus's most frequent words by hash, each an output of its own; others fall in hashed inputs and outputs."""
+    """The corpus's most frequent words by hash with their counts: the first have an output each, all others share outputs.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        order = np.argsort(hashes)
-        self.sorted, self.rank = hashes[order], order
-        # Unknown words share evenly what the known leave, as one of all their kind.
-        left, unknown = max(0, total - int(counts.sum())), max(1, distinct - len(hashes))
-        self.mass = np.full(CLASSES, 1e-3)
-        self.mass[: len(hashes)] = counts
-        self.mass[VOCABULARY:] = (left + 1) / HASHED
-        self.log_unknown = -math.log(max(1, unknown / HASHED))
+    ``masses`` are the words of the corpus in each shared output.
+    """
 
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(input, output, log share of the output) of each word hash."""
-        outputs = VOCABULARY + (h.view(np.uint64) % np.uint64(HASHED)).astype(np.int64)
-        share = np.full(len(h), self.log_unknown)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, split: int = SPLIT, masses: np.ndarray | None = None):
+        order = np.argsort(hashes)
+        self.split, self.shared = split, shared(split)
+        self.own = split * split - self.shared
+        self.sorted = hashes[order]
+        if masses is None:  # words beyond the known share evenly what these leave
+            masses = np.full(self.shared, (max(0, total - int(counts.sum())) + 1) / self.shared)
+            log_others = np.full(self.shared, -math.log(max(1, (distinct - len(hashes)) / self.shared)))
+        else:
+            log_others = -np.log(np.maximum(masses, 1))
+        self.mass = np.full(split * split, 1e-3)
+        self.mass[: min(self.own, len(hashes))] = counts[: self.own]
+        self.mass[self.own :] = np.maximum(masses, 1e-3)
+        # A known word's output and its share of it; of another word, the part of the share that doesn't hang on its count.
+        self.output, self.log_others = self._shared(hashes), log_others
+        self.output[: self.own] = np.arange(min(self.own, len(hashes)))
+        self.log_share = np.log(counts / self.mass[self.output]) if len(hashes) else np.zeros(0)
+        self.output, self.log_share = self.output[order], self.log_share[order]
+
+    def _shared(self, h: np.ndarray) -> np.ndarray:
+        return self.own + (h.view(np.uint64) % np.uint64(self.shared)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(input, output, log share of the output, whether its count is known) of each word hash.
+
+        Where it isn't, the logarithm of the count is still to be added to the share.
+        """
+        outputs = self._shared(h)
+        share, hit = self.log_others[outputs - self.own], np.zeros(len(h), bool)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
             hit = self.sorted[at] == h
-            outputs[hit], share[hit] = self.rank[at[hit]], 0
-        return outputs + 1, outputs, share
+            at = at[hit]
+            outputs[hit], share[hit] = self.output[at], self.log_share[at]
+        return outputs + 1, outputs, share, hit
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(input, output, log share of the output) of each word hash."""
+        return self.find(h)[:3]
 
 
 def windows(words: Words, inputs: np.ndarray) -> np.ndarray:
     """Of every word the inputs of SIDE words on its left and right; EDGE outside its document."""
     n = len(inputs)
-    out = np.full((n, 2 * SIDE), EDGE, np.uint16)  # sorted by radix
+    out = np.full((n, 2 * SIDE), EDGE, np.uint16 if inputs.max(initial=0) < 1 << 16 else np.uint32)  # 16 bits are sorted by radix
     for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         a, b = max(0, -d), n - max(0, d)
         if a < b:
@@ -187,7 +222,7 @@ def _fit_part(state: bytes, rate: float):
                 net.learn(context[a : a + MINIBATCH], classes[a : a + MINIBATCH], rate / math.sqrt(1 + tokens / 1e6))
                 tokens += len(classes[a : a + MINIBATCH])
         if tokens:
-            flat = np.concatenate([x.reshape(-1) for x in net.arrays()]).astype(np.float64) * tokens
+            flat = np.concatenate([x.reshape(-1) for x in net.arrays()])
             pieces = [flat[a : a + PIECE].tobytes() for a in range(0, len(flat), PIECE)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array([tokens] * len(pieces), pa.int64())], names=["piece", "values", "tokens"])
 
@@ -195,28 +230,41 @@ def _fit_part(state: bytes, rate: float):
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    """One piece of the network, summed over parts."""
-    total = None
-    for x in rows.column("values"):
-        v = np.frombuffer(x.as_buffer(), np.float64)
-        total = v.copy() if total is None else total + v
+    """One piece of the network, summed over parts by their tokens."""
+    total = 0
+    for x, n in zip(rows.column("values"), rows.column("tokens").to_pylist(), strict=True):
+        total = total + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) * n
     return pa.table({"piece": rows.column("piece").slice(0, 1), "values": pa.array([total.tobytes()], pa.binary()), "tokens": pa.array([sum(rows.column("tokens").to_pylist())], pa.int64())})
 
 
-def fit(docs: DataFrame, scratch: Scratch) -> tuple[Vocabulary, Network]:
-    """Counts of all words, and a network trained on every token of ``docs`` (doc_id, text).
+def _after(word: int, n: int):
+    """Words that come after this one by falling count."""
+    return (F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word))
+
 
-    Word counts are summed by a shuffle over all documents; the VOCABULARY most frequent come to the driver. In each
-    round every part of the corpus trains on all its tokens from the shared network, and the parts' networks are
-    averaged by their tokens: summed piece by piece in Spark, so that what is gathered grows with the parts and what
-    the driver sees doesn't.
+def fit(docs: DataFrame, scratch: Scratch) -> tuple[Vocabulary, Network, DataFrame]:
+    """Counts of all words, and a network trained on every token of ``docs`` (doc_id, text); (word, n) of all words the vocabulary doesn't know.
+
+    Word counts are summed by a shuffle over all documents. Outputs and inputs grow with the square root of the corpus's
+    words, and so do the counts that come to the driver: of KNOWN times as many words as have an own output, and of the
+    words in each shared one. In each round every part of the corpus trains on all its tokens from the shared network,
+    and the parts' networks are averaged by their tokens: summed piece by piece in Spark.
     """
     spark = docs.sparkSession
     counts = scratch.save(map_arrow(docs.select("text"), "word long, n long", _counts).groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = counts.orderBy(F.desc("n"), F.asc("word")).limit(VOCABULARY).collect()
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    vocabulary = Vocabulary(np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.float64), total, distinct)
-    net = Network()
+    split, width = split_for(total), width_for(total)
+    own, groups = split * split - shared(split), shared(split)
+    top = counts.orderBy(F.desc("n"), F.asc("word")).limit(KNOWN * own).toArrow()
+    hashes, known = (np.array(top.column(x).to_numpy()) for x in ("word", "n"))
+    masses = np.zeros(groups)
+    if len(hashes) > own:
+        unsigned = F.pmod(F.pmod("word", F.lit(groups)) + F.when(F.col("word") < 0, 2**64 % groups).otherwise(0), F.lit(groups))
+        for r in counts.filter(_after(int(hashes[own - 1]), int(known[own - 1]))).groupBy(unsigned.alias("k")).agg(F.sum("n").alias("n")).collect():
+            masses[r["k"]] = r["n"]
+    rest = counts.filter(_after(int(hashes[-1]), int(known[-1])) if len(hashes) else F.lit(False))
+    vocabulary = Vocabulary(hashes, known.astype(np.float64), total, distinct, split, masses)
+    net = Network(split=split, width=width)
     net.start_from(vocabulary.mass)
     shapes = [x.shape for x in net.arrays()]
     for r in range(ROUNDS):
@@ -228,7 +276,7 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Vocabulary, Network]:
         flat = np.concatenate([np.frombuffer(p["values"], np.float64) / p["tokens"] for p in sorted(pieces, key=lambda p: p["piece"])])
         cuts = np.cumsum([math.prod(s) for s in shapes])
         net = Network([x.reshape(s) for x, s in zip(np.split(flat, cuts)[:-1], shapes, strict=True)])
-    return vocabulary, net
+    return vocabulary, net, rest
 
 
 def _late(state, rate: float):
@@ -248,20 +296,29 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Every row gives one row; null and repeated doc_ids pass through, repeated rows score alike.
     """
     docs = whole_documents(docs)
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, Scratch(docs.sparkSession, "lm"))))
+    scratch = Scratch(docs.sparkSession, "lm")
+    *fitted, rest = fit(docs, scratch)
+    model = docs.sparkSession.sparkContext.broadcast(tuple(fitted))
 
     def make(batch: pa.RecordBatch) -> dict:
-        vocabulary, net = pickle.loads(model.value)
+        vocabulary, net = model.value
         words = Words(batch.column("text"), lower=True)
-        inputs, classes, share = vocabulary.look(long(words.hashes()))
+        h = long(words.hashes())
+        inputs, outputs, log_p, known = vocabulary.find(h)
         context = windows(words, inputs)
-        log_p = share.astype(np.float64)
-        for a in range(0, len(classes), SCORED):
+        for a in range(0, len(outputs), SCORED):
             s = slice(a, a + SCORED)
-            log_p[s] += net.log_probability(context[s], classes[s])
-        n = words.counts()
+            log_p[s] += net.log_probability(context[s], outputs[s])
         score = np.bincount(words.row, weights=log_p, minlength=batch.num_rows)
-        mean = [float(s / c) if c else None for s, c in zip(score, n, strict=True)]
-        return {"doc_id": batch.column("doc_id"), "n_tokens": n.astype(np.int64), "score": score, "mean_score": mean}
-
-    return map_arrow(docs, "doc_id long, n_tokens long, score double, mean_score double", make)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(words.row[~known], minlength=batch.num_rows))))
+        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[~known]))
+        return {"doc_id": batch.column("doc_id"), "n_tokens": words.counts().astype(np.int64), "score": score, "rare": rare}
+
+    scored = map_arrow(docs, "doc_id long, n_tokens long, score double, rare array<long>", make)
+    scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # Counts the vocabulary lacks: words are rare, so no key is hot. Logarithms are summed as integers, in any order alike.
+    logs = rest.select("word", F.round(F.log("n") * (1 << 32)).cast("long").alias("log_n"))
+    more = scored.select("row", F.explode("rare").alias("word")).join(logs, "word").groupBy("row").agg((F.sum("log_n") / (1 << 32)).alias("more"))
+    out = scored.select("row", "doc_id", "n_tokens", "score").join(more, "row", "left")
+    out = out.select("doc_id", "n_tokens", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    return out.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))

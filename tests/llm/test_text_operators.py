@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -271,6 +272,31 @@ def test_lm_tells_words_of_equal_count_apart():
     assert (net.log_probability(context, outputs) + share).mean() > -1.5
 
 
+def test_lm_scores_by_the_counts_of_all_words(spark, monkeypatch):
+    """Texts of one word: probabilities sum to 1, and words that share an output differ by their own counts."""
+    monkeypatch.setattr(masked_lm, "SPLIT", 6)
+    monkeypatch.setattr(masked_lm, "KNOWN", 2, raising=False)
+    counts = {f"w{i}": 200 // (i + 1) + i % 3 + 1 for i in range(150)}
+    texts = [w for w, n in counts.items() for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {}
+    for r in masked_lm.score_documents(docs).collect():
+        scores.setdefault(texts[r.doc_id], set()).add(r.score)
+    assert all(max(x) - min(x) < 1e-4 for x in scores.values())
+    scores = {w: x.pop() for w, x in scores.items()}
+    assert sum(math.exp(x) for x in scores.values()) == pytest.approx(1, abs=1e-3)
+    h = dict(zip(counts, Words(pa.array(list(counts))).hashes().tolist(), strict=True))
+    ranked = sorted(counts, key=lambda w: (-counts[w], np.uint64(h[w]).view(np.int64)))[32:]  # 32 have outputs of their own
+    for a, b in itertools.combinations(ranked, 2):
+        if h[a] % 4 == h[b] % 4:
+            assert scores[a] - scores[b] == pytest.approx(math.log(counts[a] / counts[b]), abs=1e-4)
+
+
+def test_lm_grows_with_the_corpus():
+    sizes = [(masked_lm.split_for(n), masked_lm.width_for(n)) for n in (0, 10**8, 10**9, 10**10)]
+    assert sizes == sorted(sizes) and len({s for s, _ in sizes}) == 4 and sizes[-1][1] > sizes[0][1]
+
+
 def test_near_copies_of_varying_noise(spark, monkeypatch):
     """A large group of copies, some too noisy to be linked, some linked only through others: no link is lost."""
     r = np.random.default_rng(8)
