@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +15,35 @@ from .common import Scratch, light, map_arrow, whole_documents
 from .components import connected_components
 from .hashing import U64, Words, grams, long, mix
 
-BANDS, ROWS = 25, 5
-BINS = BANDS * ROWS
-#: A pair is confirmed on full sets unless its sketches, of BINS entries, agree in less than the threshold minus this:
+#: Bands at least, bins of a band, and probability at most that a pair at the threshold shares no band.
+BANDS, ROWS, MISS = 25, 5, 1e-5
+#: A pair is confirmed on full sets unless its sketches, of an entry a bin, agree in less than the threshold minus this:
 #: over six standard deviations, so that none is lost.
 SLACK = 0.22
 #: Centres of a bucket's stars in the first round; each later round takes up to eight times as many.
 CENTRES = 2
 
-_random = np.random.Generator(np.random.PCG64(7))
-#: For an empty bin, the order in which it tries the others.
-PROBES = np.stack([_random.permutation(BINS) for _ in range(BINS)])
-_BAND = _random.integers(1, 2**63, (BANDS, ROWS), dtype=U64) * U64(2) + U64(1)
-_SALT = mix(np.arange(1, BANDS + 1, dtype=U64) * U64(0x632BE59BD9B4E019))
-_EDGES = ((np.arange(BINS, dtype=object) * (1 << 64) + BINS - 1) // BINS).astype(U64)
+
+def bands_for(threshold: float) -> int:
+    """Bands after which a pair at the threshold shares none with probability at most MISS."""
+    return max(BANDS, math.ceil(math.log(MISS) / math.log(1 - threshold**ROWS)))
+
+
+class Layout:
+    """Bins and bands of a signature."""
+
+    def __init__(self, bands: int):
+        random, bins = np.random.Generator(np.random.PCG64(7)), bands * ROWS
+        #: For an empty bin, the order in which it tries the others.
+        self.probes = np.stack([random.permutation(bins) for _ in range(bins)])
+        self.band = random.integers(1, 2**63, (bands, ROWS), dtype=U64) * U64(2) + U64(1)
+        self.salt = mix(np.arange(1, bands + 1, dtype=U64) * U64(0x632BE59BD9B4E019))
+        self.edges = ((np.arange(bins, dtype=object) * (1 << 64) + bins - 1) // bins).astype(U64)
+
+
+@functools.cache
+def layout(bands: int) -> Layout:
+    return Layout(bands)
 
 
 def shingle_sets(text: pa.Array, size: int) -> list[np.ndarray]:
@@ -46,20 +63,21 @@ def shingle_sets(text: pa.Array, size: int) -> list[np.ndarray]:
     return sets
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, of: Layout) -> np.ndarray:
     """The smallest hash of each bin; an empty bin copies the first full one of its own probing order."""
-    at = np.searchsorted(s, _EDGES)
+    at = np.searchsorted(s, of.edges)
     full = at < np.concatenate((at[1:], [len(s)]))
     values = s[np.minimum(at, len(s) - 1)]
     if not full.all():
         empty = np.flatnonzero(~full)
-        order = PROBES[empty]
+        order = of.probes[empty]
         values[empty] = values[order[np.arange(len(empty)), full[order].argmax(axis=1)]]
     return values
 
 
-def _signatures(size: int):
+def _signatures(size: int, bands_of: int):
     def make(batch: pa.RecordBatch) -> dict:
+        of = layout(bands_of)
         sets = shingle_sets(batch.column("text"), size)
         keys, bands, sketches = [], [], []
         for s in sets:
@@ -68,9 +86,9 @@ def _signatures(size: int):
                 bands.append(None)
                 sketches.append(None)
                 continue
-            v = signature(s)
+            v = signature(s, of)
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            bands.append(long(mix((v.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=U64) ^ _SALT)))
+            bands.append(long(mix((v.reshape(-1, ROWS) * of.band).sum(axis=1, dtype=U64) ^ of.salt)))
             sketches.append(mix(v).astype(np.uint16).tobytes())
         return {"doc_id": batch.column("doc_id"), "n": np.array([len(s) for s in sets], np.int64), "key": keys, "bands": bands, "sketch": sketches}
 
@@ -82,7 +100,7 @@ def _agreeing(threshold: float, ratio: tuple[int, int]):
         n = batch.num_rows
         if not n:
             return {"u": [], "v": []}
-        a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(n, BINS) for x in ("su", "sv"))
+        a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(n, -1) for x in ("su", "sv"))
         nu, nv = (batch.column(x).to_numpy() for x in ("nu", "nv"))
         keep = ((a == b).mean(axis=1) >= threshold) & (ratio[1] * np.minimum(nu, nv) >= ratio[0] * np.maximum(nu, nv))
         return {x: batch.column(x).to_numpy()[keep] for x in ("u", "v")}
@@ -148,7 +166,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80
     CENTRES smallest (then with up to 8, 64 ... times as many) and lets these go, and those that can't be linked with any
     other, until its members are one component or all compared: stars keep pairs in proportion to rows, and no link between different texts that share a bucket is lost.
     Pairs already in one component aren't compared. A pair at the threshold shares no band with probability below
-    1e-5 (at 0.8) or 1e-6 (at 0.85).
+    1e-5 (at 0.8, by 29 bands) or 1e-6 (at 0.85, by 25).
 
     Null and empty texts, and texts of separators only, have 0 shingles and link with nothing. Rows with a null doc_id
     link with nothing and have a null component. Rows repeating a doc_id count as one document with the links of all.
@@ -156,7 +174,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = whole_documents(docs)
-    marks = scratch.save(map_arrow(docs, "doc_id long, n long, key binary, bands array<long>, sketch binary", _signatures(size)), "signatures")
+    marks = scratch.save(map_arrow(docs, "doc_id long, n long, key binary, bands array<long>, sketch binary", _signatures(size, bands_for(ratio[0] / ratio[1]))), "signatures")
     classes = scratch.save(marks.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = marks.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("key is not null")
     rows = chosen.select("doc_id", F.explode("bands").alias("bucket"))

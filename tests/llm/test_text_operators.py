@@ -72,6 +72,12 @@ def test_near_duplicates(docs, rows, size, ratio):
         assert (r.n_shingles, r.component_id, r.kept) == (len(s[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
 
 
+def test_pairs_at_the_threshold_share_a_band():
+    for threshold in (0.8, 0.85):
+        made = minhash._signatures(3, minhash.bands_for(threshold))(pa.record_batch({"doc_id": [1], "text": [body(3, 300)]}))
+        assert (1 - threshold**minhash.ROWS) ** len(made["bands"][0]) <= 1e-5
+
+
 def test_near_duplicates_empty_and_null_ids(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
     got = minhash.near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")).collect()
