@@ -182,7 +182,7 @@ def repeated_spans(docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     return found
 
 
-def _cut(k: int):
+def _cut(k: int, keyed: bool = False):
     def make(batch: pa.RecordBatch) -> dict:
         text = batch.column("text")
         words = Words(text)
@@ -209,11 +209,17 @@ def _cut(k: int):
             for w in np.flatnonzero(~stays).tolist():
                 mask[(int(words.end[a + w - 1]) - base if w else 0) : int(words.end[a + w]) - base] = False
             texts.append(data[base : base + len(mask)][mask].tobytes().decode())
-        return {"doc_id": batch.column("doc_id"), "n_words": words.counts().astype(np.int64), "n_removed": np.array(removed, np.int64), "kept_sha256": kept, "kept_text": texts}
+        made = {"doc_id": batch.column("doc_id"), "n_words": words.counts().astype(np.int64), "n_removed": np.array(removed, np.int64), "kept_sha256": kept, "kept_text": texts}
+        if keyed:
+            made["text_md5"] = [hashlib.md5(t.encode()).hexdigest() if n else None for t, n in zip(whole, removed, strict=True)]
+        return made
 
     return make
 
 
+CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+
+
 def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every row of ``docs`` (doc_id, text).
 
@@ -223,17 +229,25 @@ def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     word goes). A null text has no words. Rows with a null doc_id are left as they are and make no other word go. Rows
     repeating a doc_id count as one document: each loses what is found for that id.
     """
+    return map_arrow(_with_spans(docs, k), CUT, _cut(k))
+
+
+def _with_spans(docs: DataFrame, k: int) -> DataFrame:
     docs = whole_documents(docs)
     scratch = Scratch(docs.sparkSession, "substring")
     found = repeated_spans(docs.filter("doc_id is not null and text is not null"), k, scratch)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return map_arrow(docs.join(spans, "doc_id", "left"), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string", _cut(k))
+    return docs.join(spans, "doc_id", "left")
 
 
 def cut_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
-    """``docs`` with the words that remove_repeats() removes cut out of text; n_chars, if there is one, follows."""
-    cut = remove_repeats(docs, k).filter("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    out = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    """``docs`` with the words that remove_repeats() removes cut out of text; n_chars, if there is one, follows.
+
+    Rows repeating a doc_id with other texts are each cut from their own text.
+    """
+    cut = map_arrow(_with_spans(docs, k), f"{CUT}, text_md5 string", _cut(k, keyed=True)).filter("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("cut_id"), "text_md5", "kept_text").dropDuplicates(["cut_id", "text_md5"])
+    out = docs.join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.md5("text") == F.col("text_md5")), "left").withColumn("text", F.coalesce("kept_text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -124,6 +124,17 @@ def test_cut_repeats_keeps_rows_and_columns(docs, rows):
             assert hashlib.sha256(b" ".join(WORD.findall(cut[i].encode()))).hexdigest() == want[i][2]
 
 
+def test_cut_repeats_of_rows_that_repeat_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    other = body(21, 60, 10_000)
+    rows = [(1, passage), (2, "x y " + passage + " z"), (2, other)]
+    got = substring.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {r.text for r in got if r.doc_id == 2}
+    assert len(got) == 3 and "x y z" in texts
+    rest = (texts - {"x y z"}).pop().split()
+    assert rest and set(rest) <= set(other.split())
+
+
 def test_remove_repeats_empty(empty):
     assert substring.remove_repeats(empty).count() == 0
 
