@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
-import json
-import os
 import re
 
 import numpy as np
@@ -13,171 +10,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, whole_documents
-from .tokens import CACHED, LETTERS, public_path
+from .merges import byte_alphabet
+from .tokens import SPACE, TEXT_BYTES, WHITE, SpacedEncoder, encoder
 
-#: What the byte-level pre-tokenizer splits by; \s is the White_Space property there.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: What the byte-level pre-tokenizer splits by.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-ASCII_SPACE = b" \t\n\r\f\v"
-_loaded: dict[str, ByteBpe] = {}
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-class ByteBpe:
-    """A byte-level BPE vocabulary read from a tokenizers file.
+class ByteBpe(SpacedEncoder):
+    """A byte-level BPE vocabulary read from a tokenizers file, encoded and decoded here.
 
     ``inside[a, b]`` says whether the byte pair a b occurs inside any token. Where it does not, a token must end
-    between them whatever merges are tried, so text is cut there and the fragments are encoded independently.
+    between them whatever merges are tried, so text is cut there and the fragments are encoded independently: everywhere
+    that the pattern, too, goes on alike after the cut. That is not so after white space (the pattern looks ahead there),
+    before an apostrophe (it may start a contraction) and inside a character.
     """
 
     def __init__(self, path: str):
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        super().__init__(path)
         alphabet = byte_alphabet()
-        vocabulary = spec["model"]["vocab"]
-        self.token_bytes = [b""] * (1 + max([*vocabulary.values(), *(t["id"] for t in spec["added_tokens"])]))
-        for token, i in vocabulary.items():
-            self.token_bytes[i] = bytes(alphabet[c] for c in token)
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for token, i in self.added.items():
-            self.token_bytes[i] = token.encode()
+        tokens = [b""] * (1 + max([*self.vocabulary.values(), *self.added.values()]))
         self.inside = np.zeros((256, 256), bool)
-        for token in vocabulary:
+        for token, i in self.vocabulary.items():
             raw = [alphabet[c] for c in token]
+            tokens[i] = bytes(raw)
             self.inside[raw[:-1], raw[1:]] = True
-        self.single = {alphabet[t]: i for t, i in vocabulary.items() if len(t) == 1}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[vocabulary[a], vocabulary[b]] = (rank, vocabulary[a + b])
+        for token, i in self.added.items():
+            tokens[i] = token.encode()
+        self.tokens = pa.array(tokens, pa.large_binary())
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.pretokens = regex.compile(PATTERN).findall
         self.special = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.fragments = self._fragments()
-        self.known: dict[str, bytes] = {}
-
-    def _fragments(self):
-        """Cuts of whole text that need no look at its surroundings: forced pairs at which the pattern ends a token too."""
-        other = [b for b in range(256) if b not in ASCII_SPACE]
-        space = [b for b in ASCII_SPACE if not self.inside[other, b].any()]
-        if len(space) < len(ASCII_SPACE):
-            return lambda text: [text] if text else []
-        last = [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0)]
-        marks = "".join(c for c in ",.;:!?|" if not self.inside[last, ord(c)].any())
-        s = " \\t\\n\\r\\f\\v"
-        return re.compile(f"[{s}]*[{LETTERS}]+(?![^{s}{marks}])|[{s}]*[^{s}]+|[{s}]+").findall
-
-    def _merge(self, raw: bytes) -> list[int]:
-        """Ids of a piece without forced cuts: the earliest merge first, the leftmost among equals."""
-        ids = [self.single[b] for b in raw]
-        merges = self.merges
-        if len(ids) > 48:
-            return self._merge_long(ids)
-        while len(ids) > 1:
-            best = None
-            for i in range(len(ids) - 1):
-                found = merges.get((ids[i], ids[i + 1]))
-                if found is not None and (best is None or found < best):
-                    best, pair = found, (ids[i], ids[i + 1])
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same in n log n steps, by a heap over a linked list."""
-        n, merges = len(ids), self.merges
-        left, right, live = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap = [(*merges[p], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in merges]
-        heap = [(rank, i, new, p) for rank, new, i, p in heap]
-        heapq.heapify(heap)
-        while heap:
-            _, i, new, pair = heapq.heappop(heap)
-            j = right[i]
-            if not live[i] or j < 0 or (ids[i], ids[j]) != pair:
-                continue
-            ids[i], live[j], right[i] = new, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for a, b in ((left[i], i), (i, right[i])):
-                if a >= 0 and b >= 0 and (p := (ids[a], ids[b])) in merges:
-                    rank, made = merges[p]
-                    heapq.heappush(heap, (rank, a, made, p))
-        return [x for x, y in zip(ids, live, strict=True) if y]
-
-    def _encode_fragment(self, text: str) -> bytes:
-        ids: list[int] = []
-        inside = self.inside
-        for token in self.pretokens(text):
-            raw = token.encode()
-            a = 0
-            for b in range(1, len(raw)):
-                if not inside[raw[b - 1], raw[b]]:
-                    ids += self._merge(raw[a:b])
-                    a = b
-            ids += self._merge(raw[a:])
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers; added tokens in the text are found first."""
-        if self.special is not None and self.special.search(text):
-            out, at = [], 0
-            for m in self.special.finditer(text):
-                out += [self._encode(text[at : m.start()]), np.array([self.added[m[0]]], "<u4").tobytes()]
-                at = m.end()
-            return b"".join([*out, self._encode(text[at:])])
-        return self._encode(text)
-
-    def _encode(self, text: str) -> bytes:
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        parts = self.fragments(text)
-        for p in set(parts).difference(known):
-            known[p] = self._encode_fragment(p)
-        return b"".join(map(known.__getitem__, parts))
-
-    def decode(self, ids: bytes) -> str:
-        """Text of the ids, added tokens too; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        self.forced = ~self.inside
+        self.forced[SPACE] = False
+        self.forced[[0x80 + x for x in (*range(11), 0x05, 0x1F, 0x20, 0x28, 0x29, 0x2F)]] = False  # the last bytes of other white space
+        self.forced[:, ord("'")] = False
+        self.forced[:, 0x80:0xC0] = False
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        return self.forced.reshape(-1)[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+
+    def whole(self, text: str) -> np.ndarray:
+        """Added tokens are found first, what lies between them is encoded by itself."""
+        parts, at = [], 0
+        for m in self.special.finditer(text):
+            parts += [self.encode(pa.array([text[at : m.start()]], pa.large_string()))[0], np.array([self.added[m[0]]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*parts, self.encode(pa.array([text[at:]], pa.large_string()))[0]])
+
+    def other(self, fragments: list[str]) -> list[bytes]:
+        """Pieces between the pattern's cuts, and inside them the forced ones, are merged each by itself."""
+        return self._cut_and_merged([[t.encode() for t in self.pretokens(f)] for f in fragments])
+
+    def cut_inside(self, data: np.ndarray, ends: np.ndarray) -> None:
+        ends[1:-1] |= ~self.inside[data[:-1], data[1:]]
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after another, and how many each id has."""
+        data = self.tokens.take(pa.array(ids, pa.uint32())).buffers()[2]
+        size = self.sizes[ids]
+        return np.frombuffer(data, np.uint8)[: int(size.sum())] if data is not None else np.zeros(0, np.uint8), size
 
 
 def load(name: str) -> ByteBpe:
-    if name not in _loaded:
-        _loaded[name] = ByteBpe(name if os.sep in name else public_path(name))
-    return _loaded[name]
+    return encoder(name, ByteBpe)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs`` (doc_id, text).
 
-    Whole texts are encoded, then decoded from their ids. Null texts count as empty (0 tokens). Every row gives one
-    row; null and repeated doc_ids pass through.
+    Whole texts are encoded, then decoded from their ids; bytes that are no UTF-8 would become U+FFFD. Null texts count
+    as empty (0 tokens). Every row gives one row; null and repeated doc_ids pass through.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
         bpe = load(tokenizer)
-        n, ids, decoded = [], [], []
-        for text in batch.column("text").to_pylist():
-            made = bpe.encode(text or "")
-            n.append(len(made) // 4)
-            ids.append(hashlib.sha256(made).hexdigest())
-            decoded.append(hashlib.sha256(bpe.decode(made).encode()).hexdigest())
-        return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
-
-    return map_arrow(whole_documents(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+        ids, counts = bpe.encode(batch.column("text"))
+        data, size = bpe.decode(ids)
+        ends = np.cumsum(counts)
+        last = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], ends))].tolist()
+        raw, text = memoryview(ids.astype("<u4", copy=False).tobytes()), memoryview(data.tobytes())
+        of_ids = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        decoded = [hashlib.sha256(str(text[a:b], "utf-8", "replace").encode()).hexdigest() for a, b in zip(last, last[1:], strict=False)]
+        return {"doc_id": batch.column("doc_id"), "n_tokens": counts, "ids_sha256": of_ids, "decoded_sha256": decoded}
+
+    return map_arrow(whole_documents(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make, limit=TEXT_BYTES)

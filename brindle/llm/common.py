@@ -16,8 +16,6 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 SLICE_BYTES = 1 << 20
 #: Saved tables of at most so many bytes are broadcast; larger ones are shuffled.
 LIGHT_BYTES = 3 << 20
-#: Rows of an Arrow batch at most: rows hold whole documents, and the usual 10,000 would hold too many at once.
-ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,18 +95,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             a = b
 
 
-def map_arrow(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dict], column: str | None = "text") -> DataFrame:
-    """mapInArrow over slices; ``make`` returns the output's columns."""
+def map_arrow(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dict], column: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow over slices of ``limit`` bytes of text; ``make`` returns the output's columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
-    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(rows)) > ARROW_ROWS:
-        conf.set(rows, ARROW_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column) if column else batches:
+        for part in slices(batches, column, limit) if column else batches:
             made = make(part)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, made[f.name]) for f in out)], schema=out)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, shuffle_partitions, whole_documents
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
 
 
 class _Available:
@@ -92,18 +92,20 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, i
 
 
 def _pieces(tokenizer: str, size: int, end_id: int):
-    end = end_id.to_bytes(4, "little")
-
     def make(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {x: [] for x in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        ids = encoder(tokenizer, False).encode([t or "" for t in batch.column("text").to_pylist()])
-        for doc, made in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-            made += end
-            for k, a in enumerate(range(0, len(made), 4 * size)):
-                part = made[a : a + 4 * size]
-                for name, value in (("doc_id", doc), ("piece", k), ("start", a // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
-                    out[name].append(value)
-        return out
+        ids, counts = encoder(tokenizer).encode(batch.column("text"))
+        ends = np.cumsum(counts)
+        data = np.insert(ids, ends, end_id).astype("<u4", copy=False)  # after each document
+        counts = counts + 1
+        first = np.cumsum(counts) - counts
+        many = -(-counts // size)
+        row = np.repeat(np.arange(len(counts)), many)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        start = piece * size
+        length = np.minimum(size, counts[row] - start)
+        raw, at = memoryview(data.tobytes()), 4 * (first[row] + start)
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+        return {"doc_id": batch.column("doc_id").take(pa.array(row)), "piece": piece.astype(np.int32), "start": start, "length": length.astype(np.int32), "ids_crc32": crc}
 
     return make
 
@@ -120,7 +122,7 @@ def pack(docs: DataFrame, size: int = 4096, tokenizer: str = "word_bpe_49k.json"
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.save(map_arrow(whole_documents(docs), "doc_id long, piece int, start long, length int, ids_crc32 long", _pieces(tokenizer, size, end_id)), "pieces")
+    pieces = scratch.save(map_arrow(whole_documents(docs), "doc_id long, piece int, start long, length int, ids_crc32 long", _pieces(tokenizer, size, end_id), limit=TEXT_BYTES), "pieces")
     salts = 4 * shuffle_partitions(spark)
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     sizes = scratch.save(pieces.groupBy("salt", "length").agg(F.count("*").alias("n")), "sizes")

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import load
 from .common import Scratch, map_arrow, shuffle_partitions, slices, whole_documents
-from .tokens import encoder
+from .tokens import TEXT_BYTES
 
 #: Ids of a block, ids from which a segment is closed, and the share of a block that must fit its packed width.
 BLOCK, SEGMENT, PERCENTILE = 256, 1 << 18, 0.9
@@ -23,6 +24,36 @@ def _widths(x: np.ndarray) -> np.ndarray:
     return np.where(x == 0, 0, np.frexp(x.astype(np.float64))[1]).astype(np.int64)
 
 
+def _pack(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of BLOCK values in w bits each, highest bit first, as rows of bytes."""
+    out = np.zeros((len(values), BLOCK * w // 64 + 1), np.uint64)
+    columns = np.ascontiguousarray(values.T.astype(np.uint64))
+    for j in range(BLOCK):
+        k, spare = j * w // 64, 64 - j * w % 64 - w
+        if spare >= 0:
+            out[:, k] |= columns[j] << np.uint64(spare)
+        else:
+            out[:, k] |= columns[j] >> np.uint64(-spare)
+            out[:, k + 1] |= columns[j] << np.uint64(64 + spare)
+    return np.ascontiguousarray(out[:, :-1]).astype(">u8").view(np.uint8).reshape(len(values), -1)
+
+
+def _unpack(rows: np.ndarray, w: int) -> np.ndarray:
+    """The values of _pack()."""
+    words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64).T
+    out, mask = np.empty((BLOCK, rows.shape[0]), np.uint32), np.uint64((1 << w) - 1)
+    for j in range(BLOCK):
+        k, spare = j * w // 64, 64 - j * w % 64 - w
+        x = words[k] >> np.uint64(spare) if spare >= 0 else (words[k] << np.uint64(-spare)) | (words[k + 1] >> np.uint64(64 + spare))
+        out[j] = x & mask
+    return out.T
+
+
+def _runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... so many as sizes[0], then from first[1]."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
 def encode_blocks(ids: np.ndarray) -> bytes:
     """Block starts (u32 each, from the first block), then the blocks.
 
@@ -36,35 +67,30 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     blocks = -(-len(ids) // BLOCK)
     grid = np.empty((blocks, BLOCK), np.uint32)
     grid.reshape(-1)[: len(ids)] = ids
-    tail = ids[(blocks - 1) * BLOCK :]
-    grid.reshape(-1)[len(ids) :] = tail.min()
+    grid.reshape(-1)[len(ids) :] = ids[(blocks - 1) * BLOCK :].min()
     low = grid.min(axis=1)
     rest = grid - low[:, None]
     at = min(BLOCK - 1, int(np.ceil(PERCENTILE * BLOCK)) - 1)
     width = _widths(np.partition(rest, at, axis=1)[:, at])
-    bits = _widths(rest)
-    odd = bits > width[:, None]
-    packed: list[bytes] = [b""] * blocks
+    odd = rest.astype(np.uint64) >> width[:, None].astype(np.uint64) != 0
+    many = odd.sum(axis=1)
+    packed = BLOCK * width // 8
+    size = 7 + packed + 5 * many
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    head = np.empty((blocks, 7), np.uint8)
+    head[:, :4] = low.astype("<u4").view(np.uint8).reshape(-1, 4)
+    head[:, 4] = width
+    head[:, 5:] = many.astype("<u2").view(np.uint8).reshape(-1, 2)
+    out[start[:, None] + np.arange(7)] = head
     for w in np.unique(width).tolist():
-        rows = np.flatnonzero(width == w)
         if w:
-            values = np.where(odd[rows], 0, rest[rows])
-            shifts = np.arange(w - 1, -1, -1, dtype=np.uint32)
-            made = np.packbits(((values[:, :, None] >> shifts) & 1).astype(np.uint8).reshape(len(rows), -1), axis=1)
-            for r, m in zip(rows.tolist(), made, strict=True):
-                packed[r] = m.tobytes()
-    many = odd.sum(axis=1)
-    where, value = np.nonzero(odd)[1].astype(np.uint8), rest[odd].astype("<u4")
-    ends = np.cumsum(many)
-    out, starts, size = [], np.empty(blocks, "<u4"), 0
-    lows = low.astype("<u4").tobytes()
-    for i in range(blocks):
-        a, b = int(ends[i] - many[i]), int(ends[i])
-        block = lows[4 * i : 4 * i + 4] + bytes((int(width[i]),)) + (b - a).to_bytes(2, "little") + packed[i] + where[a:b].tobytes() + value[a:b].tobytes()
-        starts[i] = size
-        size += len(block)
-        out.append(block)
-    return starts.tobytes() + b"".join(out)
+            rows = np.flatnonzero(width == w)
+            out[(start[rows] + 7)[:, None] + np.arange(BLOCK * w // 8)] = _pack(np.where(odd[rows], 0, rest[rows]), w)
+    tail = start + 7 + packed
+    out[_runs(tail, many)] = np.nonzero(odd)[1]
+    out[_runs(tail + many, 4 * many)] = rest[odd].astype("<u4").view(np.uint8)
+    return start.astype("<u4").tobytes() + out.tobytes()
 
 
 def decode_blocks(data: bytes, n: int) -> np.ndarray:
@@ -72,35 +98,27 @@ def decode_blocks(data: bytes, n: int) -> np.ndarray:
     blocks = -(-n // BLOCK)
     if not blocks:
         return np.zeros(0, np.uint32)
-    starts = (np.frombuffer(data, "<u4", blocks) + 4 * blocks).tolist()
-    low = np.empty(blocks, np.uint32)
-    width = np.empty(blocks, np.int64)
+    start = np.frombuffer(data, "<u4", blocks).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, -1, 4 * blocks)
+    head = raw[start[:, None] + np.arange(7)]
+    low = np.ascontiguousarray(head[:, :4]).view("<u4").reshape(-1)
+    width, many = head[:, 4].astype(np.int64), np.ascontiguousarray(head[:, 5:]).view("<u2").reshape(-1).astype(np.int64)
     grid = np.zeros((blocks, BLOCK), np.uint32)
-    patches = []
-    for i, s in enumerate(starts):
-        low[i] = int.from_bytes(data[s : s + 4], "little")
-        width[i] = data[s + 4]
-        patches.append(int.from_bytes(data[s + 5 : s + 7], "little"))
     for w in np.unique(width).tolist():
-        rows = np.flatnonzero(width == w)
         if w:
-            size = BLOCK * w // 8
-            raw = np.frombuffer(b"".join(data[starts[r] + 7 : starts[r] + 7 + size] for r in rows.tolist()), np.uint8).reshape(len(rows), size)
-            bits = np.unpackbits(raw, axis=1).reshape(len(rows), BLOCK, w)
-            weights = (np.uint32(1) << np.arange(w - 1, -1, -1, dtype=np.uint32)).astype(np.float64)
-            grid[rows] = (bits.reshape(-1, w) @ weights).astype(np.uint32).reshape(len(rows), BLOCK)
-    for i, e in enumerate(patches):
-        if e:
-            s = starts[i] + 7 + BLOCK * int(width[i]) // 8
-            grid[i, np.frombuffer(data, np.uint8, e, s)] = np.frombuffer(data, "<u4", e, s + e)
+            rows = np.flatnonzero(width == w)
+            grid[rows] = _unpack(raw[(start[rows] + 7)[:, None] + np.arange(BLOCK * w // 8)], w)
+    tail = start + 7 + BLOCK * width // 8
+    place = raw[_runs(tail, many)]
+    grid[np.repeat(np.arange(blocks), many), place] = raw[_runs(tail + many, 4 * many)].view("<u4")
     return (grid + low[:, None]).reshape(-1)[:n]
 
 
-def segment(doc_ids: list[int | None], counts: list[int], ids: bytes) -> bytes:
+def segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A file segment: magic, documents u32, ids u64; doc_id i64 (with a byte for null) and ids u32 of each document; blocks."""
     null = np.array([d is None for d in doc_ids], np.uint8)
-    head = MAGIC + len(doc_ids).to_bytes(4, "little") + (len(ids) // 4).to_bytes(8, "little")
-    return head + null.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(counts, "<u4").tobytes() + encode_blocks(np.frombuffer(ids, "<u4"))
+    head = MAGIC + len(doc_ids).to_bytes(4, "little") + len(ids).to_bytes(8, "little")
+    return head + null.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.asarray(counts, "<u4").tobytes() + encode_blocks(ids)
 
 
 def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -125,22 +143,29 @@ def _write(tokenizer: str, end_id: int):
         from pyspark import TaskContext
 
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        end = end_id.to_bytes(4, "little")
         docs: list[int | None] = []
-        counts: list[int] = []
-        parts: list[bytes] = []
+        counts: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            row = (part, seq, before, size, segment(docs, counts, b"".join(parts)))
+            row = (part, seq, before, size, segment(docs, np.concatenate(counts), np.concatenate(parts)))
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in slices(batches):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer, True).encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                docs.append(doc)
-                parts += (ids, end)
-                counts.append(len(ids) // 4 + 1)
-                size += counts[-1]
+        for batch in slices(batches, limit=TEXT_BYTES):
+            ids, n = load(tokenizer).encode(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(n), end_id)  # after each document
+            n = n + 1
+            ends, names, at = np.cumsum(n), batch.column("doc_id").to_pylist(), 0
+            while at < len(n):
+                done = int(ends[at - 1]) if at else 0
+                # The document that fills the segment closes it.
+                stop = min(len(n), int(np.searchsorted(ends, done + SEGMENT - size)) + 1)
+                docs += names[at:stop]
+                counts.append(n[at:stop])
+                parts.append(ids[done : int(ends[stop - 1])])
+                size += int(ends[stop - 1]) - done
+                at = stop
                 if size >= SEGMENT:
                     yield close()
                     before, seq, size = before + size, seq + 1, 0
