@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -62,9 +64,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def text_sizes(text: pa.Array) -> np.ndarray:
-    """Bytes of each text; 0 for null."""
-    offsets, _ = text_buffers(text)
-    return np.diff(offsets)
+    """Bytes of each text (or binary value); 0 for null."""
+    return pc.binary_length(text).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
 
 
 def text_buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +96,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             a = b
 
 
-def map_arrow(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dict], column: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow over slices of ``limit`` bytes of text; ``make`` returns the output's columns."""
+def arrow_schema(schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+def map_arrow(df: DataFrame, schema: str | StructType, make: Callable[[pa.RecordBatch], dict | pa.RecordBatch], column: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow over slices of ``limit`` bytes of text; ``make`` returns the output's columns, or a whole batch."""
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column, limit) if column else batches:
             made = make(part)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, made[f.name]) for f in out)], schema=out)
+            yield made if isinstance(made, pa.RecordBatch) else pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, made[f.name]) for f in out)], schema=out)
 
     return df.mapInArrow(run, schema)
 

@@ -22,6 +22,8 @@ BANDS, ROWS, MISS = 25, 5, 1e-5
 SLACK = 0.22
 #: Centres of a bucket's stars in the first round; each later round takes up to eight times as many.
 CENTRES = 2
+#: Bands of the first pass: it joins most of a large group, so that the second, of all bands, finds its buckets closed.
+FEW = 3
 
 
 def bands_for(threshold: float) -> int:
@@ -49,7 +51,7 @@ def layout(bands: int) -> Layout:
 def shingle_sets(text: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: A-Z lower-cased; with fewer words the whole sequence is one."""
     words = Words(text, lower=True)
-    h, first = words.hashes(), words.first
+    h, first = words.hashes(keyed=True), words.first
     runs = grams(h, size)
     sets = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -75,6 +77,11 @@ def signature(s: np.ndarray, of: Layout) -> np.ndarray:
     return values
 
 
+def _key(s: np.ndarray) -> bytes | None:
+    """The class of documents of equal sets; none for an empty set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _signatures(size: int, bands_of: int):
     def make(batch: pa.RecordBatch) -> dict:
         of = layout(bands_of)
@@ -87,7 +94,7 @@ def _signatures(size: int, bands_of: int):
                 sketches.append(None)
                 continue
             v = signature(s, of)
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            keys.append(_key(s))
             bands.append(long(mix((v.reshape(-1, ROWS) * of.band).sum(axis=1, dtype=U64) ^ of.salt)))
             sketches.append(mix(v).astype(np.uint16).tobytes())
         return {"doc_id": batch.column("doc_id"), "n": np.array([len(s) for s in sets], np.int64), "key": keys, "bands": bands, "sketch": sketches}
@@ -99,17 +106,21 @@ def _agreeing(threshold: float, ratio: tuple[int, int]):
     def make(batch: pa.RecordBatch) -> dict:
         n = batch.num_rows
         if not n:
-            return {"u": [], "v": []}
+            return {x: [] for x in ("u", "v", "ku", "kv")}
         a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(n, -1) for x in ("su", "sv"))
         nu, nv = (batch.column(x).to_numpy() for x in ("nu", "nv"))
         keep = ((a == b).mean(axis=1) >= threshold) & (ratio[1] * np.minimum(nu, nv) >= ratio[0] * np.maximum(nu, nv))
-        return {x: batch.column(x).to_numpy()[keep] for x in ("u", "v")}
+        return {x: batch.column(x).filter(pa.array(keep)) for x in ("u", "v", "ku", "kv")}
 
     return make
 
 
 def _sets(size: int):
-    return lambda batch: {"doc_id": batch.column("doc_id"), "hashes": [s.tobytes() for s in shingle_sets(batch.column("text"), size)]}
+    def make(batch: pa.RecordBatch) -> dict:
+        sets = shingle_sets(batch.column("text"), size)
+        return {"doc_id": batch.column("doc_id"), "key": [_key(s) for s in sets], "hashes": [s.tobytes() for s in sets]}
+
+    return make
 
 
 def _confirmed(ratio: tuple[int, int]):
@@ -129,7 +140,8 @@ def _confirmed(ratio: tuple[int, int]):
 def _hashes(size: int):
     def make(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(batch.column("text"), size)
-        return {"doc_id": np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in sets]), "h": long(np.concatenate(sets)) if sets else []}
+        row = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+        return {"doc_id": batch.column("doc_id").take(row), "key": pa.array([_key(s) for s in sets], pa.binary()).take(row), "h": long(np.concatenate(sets)) if sets else []}
 
     return make
 
@@ -142,12 +154,14 @@ def _hopeful(docs: DataFrame, members: DataFrame, sketches: DataFrame, size: int
     rules out noisy copies of a passage without comparing them with each other, and nothing else.
     """
     ids = scratch.save(members.select("doc_id").distinct(), "ids")
-    shared = map_arrow(docs.join(light(ids), "doc_id", "left_semi"), "doc_id long, h long", _hashes(size))
-    alone = scratch.save(shared.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("alone")), "alone")
-    sizes = scratch.save(sketches.join(light(ids), "doc_id").select("doc_id", "n"), "sizes")
-    sized = members.join(light(sizes), "doc_id").join(light(alone), "doc_id", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0)))
-    least = members.join(light(sizes), "doc_id").groupBy("bucket").agg(F.min("n").alias("m"))
-    kept = sized.join(least, "bucket").filter(ratio[1] * F.col("r") >= ratio[0] * (F.col("n") + F.greatest("m", "r") - F.col("r"))).select("bucket", "doc_id", "c")
+    text = F.struct("doc_id", "key")
+    shared = map_arrow(docs.join(light(ids), "doc_id", "left_semi"), "doc_id long, key binary, h long", _hashes(size)).filter("key is not null")
+    alone = shared.groupBy("h").agg(F.min(text).alias("first"), F.max(text).alias("last")).filter("first = last").groupBy("first.doc_id", "first.key").agg(F.count("*").alias("alone"))
+    sizes = sketches.join(light(ids), "doc_id", "left_semi").select("doc_id", "key", "n").join(alone, ["doc_id", "key"], "left")
+    sizes = scratch.save(sizes.select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("r")), "sizes")
+    sized = members.join(light(sizes), "doc_id")
+    least = sized.groupBy("bucket").agg(F.min("n").alias("m"))
+    kept = sized.join(least, "bucket").filter(ratio[1] * F.col("r") >= ratio[0] * (F.col("n") + F.greatest("m", "r") - F.col("r"))).select("bucket", "doc_id", "c").distinct()
     return _open(kept)
 
 
@@ -157,54 +171,42 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket").select("bucket", "doc_id", "c")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80, 100)) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
-
-    Documents are linked when intersection / union of their sets of ``size``-word shingles is at least ratio[0] /
-    ratio[1], confirmed on full sets. Documents of equal sets are one class, compared once through its smallest id.
-    Class representatives meet in buckets of equal bands; in each round every bucket compares all its members with its
-    CENTRES smallest (then with up to 8, 64 ... times as many) and lets these go, and those that can't be linked with any
-    other, until its members are one component or all compared: stars keep pairs in proportion to rows, and no link between different texts that share a bucket is lost.
-    Pairs already in one component aren't compared. A pair at the threshold shares no band with probability below
-    1e-5 (at 0.8, by 29 bands) or 1e-6 (at 0.85, by 25).
-
-    Null and empty texts, and texts of separators only, have 0 shingles and link with nothing. Rows with a null doc_id
-    link with nothing and have a null component. Rows repeating a doc_id count as one document with the links of all.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    docs = whole_documents(docs)
-    marks = scratch.save(map_arrow(docs, "doc_id long, n long, key binary, bands array<long>, sketch binary", _signatures(size, bands_for(ratio[0] / ratio[1]))), "signatures")
-    classes = scratch.save(marks.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = marks.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("key is not null")
-    rows = chosen.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = scratch.save(rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket"), "shared")
-    members = scratch.save(rows.join(light(shared), "bucket").distinct(), "members")
+def _linked(docs: DataFrame, own: DataFrame, stars: DataFrame, bands: int | None, size: int, ratio: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """(id, component) after comparing what shares one of the first ``bands`` bands, or any, beyond the components of ``stars``."""
+    nodes = own.select("doc_id", F.slice("bands", 1, bands).alias("bands") if bands else "bands")
+    nodes = nodes.join(light(stars, F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    rows = nodes.select("doc_id", F.coalesce("component", "doc_id").alias("c"), F.explode("bands").alias("bucket"))
+    several = scratch.save(rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket"), "several")
+    members = scratch.save(rows.join(light(several), "bucket").select("bucket", "doc_id", "c").distinct(), "members")
     ids = scratch.save(members.select("doc_id").distinct(), "ids")
-    sketches = scratch.save(marks.filter("key is not null").select("doc_id", "n", "sketch").join(light(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sketches")
-    stars, centres = None, CENTRES
+    sketches = scratch.save(own.select("doc_id", "key", "n", "sketch").join(light(ids), "doc_id", "left_semi"), "sketches")
+    start, centres = bands is not None, CENTRES
+    if not start and not members.isEmpty():
+        members = scratch.save(_hopeful(docs, members, sketches, size, ratio, scratch), "members")
     while not members.isEmpty():
         # Centres: at first the smallest ids of every bucket; then of those outside its largest component, for pairs
         # inside that need no look. Before the shuffle each task keeps only so many of a bucket.
         able = members
-        if stars is not None:
+        if not start:
             sizes = members.groupBy("bucket", "c").agg(F.count("*").alias("size"))
             able = members.join(sizes.groupBy("bucket").agg(F.max_by("c", "size").alias("most")), "bucket").filter("c <> most")
+        start = False
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        heads = able.withColumn("place", place).filter(F.col("place") <= centres).select("bucket", F.col("doc_id").alias("u"), *([F.col("c").alias("cu")] if stars is not None else []))
+        heads = able.withColumn("place", place).filter(F.col("place") <= centres).select("bucket", F.col("doc_id").alias("u"), F.col("c").alias("cu"))
         heads = scratch.save(heads, "centres")
-        pairs = members.join(light(heads), "bucket").filter("doc_id <> u" if stars is None else "c <> cu")
+        pairs = members.join(light(heads), "bucket").filter("c <> cu")
         pairs = pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
         side = light(sketches)
-        left = side.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
-        right = side.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-        near = scratch.save(map_arrow(pairs.join(left, "u").join(right, "v"), "u long, v long", _agreeing(ratio[0] / ratio[1] - SLACK, ratio), None), "near")
-        ends = scratch.save(near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct(), "ends")
-        sets = scratch.save(map_arrow(docs.join(light(ends), "doc_id", "left_semi"), "doc_id long, hashes binary", _sets(size)).dropDuplicates(["doc_id"]), "sets")
-        hu, hv = sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hu")), sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hv"))
-        found = map_arrow(near.join(hu, "u").join(hv, "v"), "u long, v long", _confirmed(ratio), None)
-        if stars is not None:
-            found = found.unionByName(stars.select(F.col("id").alias("u"), F.col("component").alias("v")))
+        left = side.select(F.col("doc_id").alias("u"), F.col("key").alias("ku"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+        right = side.select(F.col("doc_id").alias("v"), F.col("key").alias("kv"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+        near = scratch.save(map_arrow(pairs.join(left, "u").join(right, "v"), "u long, v long, ku binary, kv binary", _agreeing(ratio[0] / ratio[1] - SLACK, ratio), None), "near")
+        ends = scratch.save(near.select(F.col("u").alias("doc_id"), F.col("ku").alias("key")).unionByName(near.select(F.col("v").alias("doc_id"), F.col("kv").alias("key"))).distinct(), "ends")
+        sets = map_arrow(docs.join(light(ends, "doc_id"), "doc_id", "left_semi"), "doc_id long, key binary, hashes binary", _sets(size))
+        sets = scratch.save(sets.filter("key is not null").dropDuplicates(["doc_id", "key"]), "sets")
+        hu = sets.select(F.col("doc_id").alias("u"), F.col("key").alias("ku"), F.col("hashes").alias("hu"))
+        hv = sets.select(F.col("doc_id").alias("v"), F.col("key").alias("kv"), F.col("hashes").alias("hv"))
+        found = map_arrow(near.join(hu, ["u", "ku"]).join(hv, ["v", "kv"]), "u long, v long", _confirmed(ratio), None)
+        found = found.unionByName(stars.select(F.col("id").alias("u"), F.col("component").alias("v")))
         stars = scratch.save(connected_components(found, scratch), "stars")
         # Buckets go on with the members that were no centre, while these are of several components.
         rest = members.select("bucket", "doc_id").join(light(heads, "bucket", F.col("u").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
@@ -214,11 +216,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80
             after = scratch.save(_hopeful(docs, after, sketches, size, ratio, scratch), "members")
         scratch.drop(members, near, sets, heads)
         members, centres = after, 8 * centres
+    return stars
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80, 100)) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
+
+    Documents are linked when intersection / union of their sets of ``size``-word shingles is at least ratio[0] /
+    ratio[1], confirmed on full sets. Documents of equal sets are one class, compared once through its smallest id.
+    Class representatives meet in buckets of equal bands, first of FEW bands, then of all; in each round every bucket
+    compares all its members with its CENTRES smallest (then with up to 8, 64 ... times as many) and lets these go, and
+    those that can't be linked with any other, until its members are one component or all compared: stars keep pairs in
+    proportion to rows, and no link between different texts that share a bucket is lost. Pairs already in one component
+    aren't compared. A pair at the threshold shares no band with probability below
+    1e-5 (at 0.8, by 29 bands) or 1e-6 (at 0.85, by 25).
+
+    Null and empty texts, and texts of separators only, have 0 shingles and link with nothing. Rows with a null doc_id
+    link with nothing and have a null component. Rows repeating a doc_id count as one document with the links of all their texts.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "minhash")
+    docs = whole_documents(docs)
+    threshold = ratio[0] / ratio[1]
+    marks = scratch.save(map_arrow(docs, "doc_id long, n long, key binary, bands array<long>, sketch binary", _signatures(size, bands_for(threshold))), "signatures")
+    full = marks.filter("key is not null and doc_id is not null")
+    classes = scratch.save(full.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    # A class is compared through its smallest id. An id of several texts is one document: it joins their classes.
+    own = scratch.save(full.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "key"]), "representatives")
+    repeated = scratch.save(full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("doc_id"), "repeated")
+    several = full.select("doc_id", "key").join(light(repeated), "doc_id").join(classes, "key")
+    versions = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").select(F.col("rep").alias("u"), "v")
+    stars = scratch.save(connected_components(versions, scratch), "stars")
+    for bands in (FEW, None):
+        stars = _linked(docs, own, stars, bands, size, ratio, scratch)
     base = marks.select("doc_id", "n", "key").join(classes, "key", "left")
-    if stars is None:
-        base = base.withColumns({"component": F.lit(None).cast("long")})
-    else:
-        base = base.join(light(stars, F.col("id").alias("rep"), "component"), "rep", "left")
+    base = base.join(light(stars, F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     out = base.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, whole_documents
-from .hashing import _BYTE, U64, Words, _powers_to, grams, mix
+from .hashing import U64, Words, grams, mix, span_hashes
 
 #: Labelled rows the model is fitted on at most, chosen by a hash of doc_id; hashed dimensions; passes over the rows.
 SAMPLE, DIMENSIONS, EPOCHS = 6000, 1 << 18, 4
@@ -34,9 +34,7 @@ def shapes(words: Words) -> np.ndarray:
     keep[1:] = kind[1:] != kind[:-1]
     keep[words.start] = True
     place = np.cumsum(keep) - 1
-    power, inverse = _powers_to(len(kind), 0)
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(np.where(keep, _BYTE[0][kind] * power[place], U64(0)), dtype=U64)))
-    return mix((total[words.end] - total[words.start]) * inverse[place[words.start]])
+    return span_hashes(kind[keep], place[words.start], place[words.end - 1] + 1)
 
 
 def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,6 +118,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarra
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros(DIMENSIONS + 1, np.float32)
 
 
+def scores(text: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The probability of label 1 of each text."""
+    row, dim, value = features(text)
+    margin = np.bincount(row, weights=weights[dim] * value, minlength=len(text)) + weights[-1]
+    return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text).
 
@@ -131,10 +136,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels)))
 
     def make(batch: pa.RecordBatch) -> dict:
-        w = pickle.loads(weights.value)
-        row, dim, value = features(batch.column("text"))
-        margin = np.bincount(row, weights=w[dim] * value, minlength=batch.num_rows) + w[-1]
-        score = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+        score = scores(batch.column("text"), pickle.loads(weights.value))
         return {"doc_id": batch.column("doc_id"), "score": score, "predicted": (score >= 0.5).astype(np.int32)}
 
     scored = map_arrow(docs, "doc_id long, score double, predicted int", make)
@@ -143,6 +145,12 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted 0. Rows with a null doc_id stay: nothing is known to be wrong with them."""
-    bad = score_quality(docs, labels).filter("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows predicted 0, each judged by its own text, also where doc_ids are null or repeated."""
+    fitted = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(whole_documents(docs), labels)))
+    names = docs.columns
+    renamed = docs.toDF(*(c if c == "text" else f"column_{i}" for i, c in enumerate(names)))
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(scores(batch.column("text"), pickle.loads(fitted.value)) >= 0.5))
+
+    return map_arrow(renamed, renamed.schema, make).toDF(*names)

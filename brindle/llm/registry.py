@@ -22,7 +22,7 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(table(spark, sf_dir, "documents"), k=20).drop("kept_text")
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), k=20)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

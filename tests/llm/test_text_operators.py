@@ -9,8 +9,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from brindle.llm import bpe, masked_lm, minhash, packing, quality, substring, token_blocks, tokens
+from brindle.llm import bpe, components, masked_lm, minhash, packing, quality, substring, token_blocks, tokens
+from brindle.llm.common import Scratch
 from brindle.llm.hashing import Words
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -84,6 +86,37 @@ def test_near_duplicates_empty_and_null_ids(spark, empty):
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(None, None, True), (4, 2, False), (2, 2, True)}
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """A document of two texts has the links of both, whatever row comes first."""
+    one, two, three = body(31, 60, 10_000), body(32, 60, 10_000), body(33, 60, 10_000)
+    rows = [(1, one), (5, one + " end"), (5, two), (7, two), (8, three), (9, three), (9, three), (2, body(34, 9)), (2, body(35, 9))]
+    want = {1: 1, 5: 1, 7: 1, 8: 8, 9: 8, 2: 2}
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+
+
+@pytest.mark.parametrize("one_task", [0, 500_000])
+def test_connected_components(spark, monkeypatch, one_task):
+    """Both ways of uniting edges, on long paths, a star and random edges."""
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    r = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(500, 500 + i) for i in range(1, 60)] + [tuple(map(int, x)) for x in r.integers(1000, 1200, (90, 2))] + [(7, 7), (3, 2), (2, 3)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    got = components.connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()
+    assert {r.id: r.component for r in got} == {x: find(x) for x in root} and len(got) == len(root)
+
+
 def test_drop_near_duplicates(docs):
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -104,9 +137,11 @@ def expected_repeats(rows, k):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 4000])
-def test_remove_repeats(docs, rows, monkeypatch, hot):
-    monkeypatch.setattr(substring, "HOT", hot)
+@pytest.mark.parametrize("together", [1, 300, 1 << 17])
+def test_remove_repeats(docs, rows, spark, monkeypatch, together):
+    """Buckets judged whole, dealt by digest, and both; over more ranges than a string's rows fill."""
+    monkeypatch.setattr(substring, "TOGETHER", together)
+    monkeypatch.setattr(substring, "shuffle_partitions", lambda s: 7)
     want = expected_repeats(rows, 20)
     got = substring.remove_repeats(docs).collect()
     assert len(got) == len(rows) + 1
@@ -135,6 +170,54 @@ def test_cut_repeats_of_rows_that_repeat_an_id(spark):
     assert rest and set(rest) <= set(other.split())
 
 
+def thue_morse(n, first="a", second="b"):
+    """Words of polynomial hashes that meet modulo 2**64, whatever the base."""
+    return "".join((first, second)[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_meet_in_polynomial_hashes(spark):
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    head = " ".join(f"h{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{head} {one}"), (4, f"{head} {two}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert all(r.kept for r in minhash.near_duplicates(docs.filter("doc_id < 3"), 3, (85, 100)).collect())
+
+
+def test_remove_repeats_random(spark, monkeypatch):
+    """Many partial overlaps over few words, in buckets that ranges and sizes cut."""
+    monkeypatch.setattr(substring, "TOGETHER", 50)
+    monkeypatch.setattr(substring, "shuffle_partitions", lambda s: 9)
+    r = np.random.default_rng(17)
+    base = [f"w{x}" for x in r.integers(0, 40, 600)]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(r.integers(1, 4)):
+            a = int(r.integers(0, 550))
+            parts += base[a : a + int(r.integers(5, 60))] + [f"x{r.integers(0, 9)}"] * int(r.integers(0, 30))
+        rows.append((i, " ".join(parts)))
+    rows += [(200 + i, " ".join(base[100:160])) for i in range(60)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in got} == expected_repeats(rows, 20)
+
+
+def test_remove_repeats_odd_rows(spark):
+    """Null ids and texts, versions of a document, and repeated rows."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, passage), (None, None), (1, None), (2, passage), (2, passage), (2, "x " + passage), (3, "y " + passage + " z"), (3, "other words")]
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 30, 0), (None, 0, 0), (1, 0, 0), (2, 30, 0), (2, 30, 0), (2, 31, 30), (3, 32, 30), (3, 2, 0)], key=str)
+
+
+def test_cut_repeats_leaves_other_columns(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, passage, 9, "s", 1.5), (2, "ö " + passage + " é", 9, None, None), (3, None, 9, "spans", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars long, spans string, version double")
+    got = substring.cut_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [rows[0], (2, "ö é", 3, None, None), rows[2]]
+
+
 def test_remove_repeats_empty(empty):
     assert substring.remove_repeats(empty).count() == 0
 
@@ -282,7 +365,7 @@ def test_lm_score_is_the_sum_of_conditionals():
     u, n = np.unique(h, return_counts=True)
     vocabulary, net = masked_lm.Vocabulary(u, n.astype(float), len(h), len(u)), masked_lm.Network()
     inputs, classes, _ = vocabulary.look(h)
-    context = masked_lm.windows(words, inputs)
+    context = masked_lm.windows(words.row, inputs)
     assert context[5].tolist() == [masked_lm.EDGE, masked_lm.EDGE, inputs[6], masked_lm.EDGE]
     total = np.stack([net.log_probability(context, np.full(len(h), k)) for k in range(masked_lm.CLASSES)], axis=1)
     assert np.allclose(np.exp(total).sum(axis=1), 1, atol=1e-4)
@@ -300,7 +383,7 @@ def test_lm_tells_words_of_equal_count_apart():
     u, n = np.unique(h, return_counts=True)
     vocabulary, net = masked_lm.Vocabulary(u, n.astype(float), len(h), len(u)), masked_lm.Network()
     inputs, outputs, share = vocabulary.look(h)
-    context = masked_lm.windows(words, inputs)
+    context = masked_lm.windows(words.row, inputs)
     for _ in range(1500):
         net.learn(context, outputs, 0.5)
     assert (net.log_probability(context, outputs) + share).mean() > -1.5
@@ -326,6 +409,13 @@ def test_lm_scores_by_the_counts_of_all_words(spark, monkeypatch):
             assert scores[a] - scores[b] == pytest.approx(math.log(counts[a] / counts[b]), abs=1e-4)
 
 
+def test_lm_scores_do_not_hang_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "parts_for", lambda total: 3)
+    docs = spark.createDataFrame([(i, body(i, 40 + i % 50, 200)) for i in range(120)], "doc_id long, text string")
+    one, other = ({r.doc_id: r.score for r in masked_lm.score_documents(d).collect()} for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(7)))
+    assert all(math.isclose(one[i], other[i], rel_tol=1e-5) for i in one)
+
+
 def test_lm_grows_with_the_corpus():
     sizes = [(masked_lm.split_for(n), masked_lm.width_for(n)) for n in (0, 10**8, 10**9, 10**10)]
     assert sizes == sorted(sizes) and len({s for s, _ in sizes}) == 4 and sizes[-1][1] > sizes[0][1]
