@@ -18,9 +18,9 @@ from .hashing import Words, long
 SPLIT, KNOWN = 96, 16
 CLASSES = SPLIT * SPLIT
 #: Words on either side, least width of an input vector, tokens of an update and of a look, rounds of averaging, first step size.
-SIDE, WIDTH, MINIBATCH, SCORED, ROUNDS, RATE = 2, 16, 4096, 32768, 1, 0.5
-#: Parameters of a piece that is summed in one group.
-PIECE = 4096
+SIDE, WIDTH, MINIBATCH, SCORED, ROUNDS, RATE = 2, 16, 8192, 32768, 2, 0.5
+#: Parameters of a piece that is summed in one group, and the bits after the point that they are summed in.
+PIECE, BITS = 4096, 56
 #: The first input stands for what lies beyond the document's edge.
 EDGE = 0
 
@@ -34,6 +34,11 @@ def width_for(total: int) -> int:
     return max(WIDTH, 4 * round(4 * (total / 2**27) ** 0.125))
 
 
+def parts_for(total: int) -> int:
+    """Parts that train on their own in a round: with the square root of the corpus, whatever the cluster."""
+    return max(1, round((total / 2**17) ** 0.5))
+
+
 def shared(split: int) -> int:
     """Outputs (and inputs) that words share; the others are words' own."""
     return split * split // 9
@@ -191,14 +196,14 @@ class Vocabulary:
         return self.find(h)[:3]
 
 
-def windows(words: Words, inputs: np.ndarray) -> np.ndarray:
-    """Of every word the inputs of SIDE words on its left and right; EDGE outside its document."""
+def windows(row: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """Of every word the inputs of SIDE words on its left and right; EDGE outside its document, ``row``."""
     n = len(inputs)
     out = np.full((n, 2 * SIDE), EDGE, np.uint16 if inputs.max(initial=0) < 1 << 16 else np.uint32)  # 16 bits are sorted by radix
     for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         a, b = max(0, -d), n - max(0, d)
         if a < b:
-            same = words.row[a:b] == words.row[a + d : b + d]
+            same = row[a:b] == row[a + d : b + d]
             out[a:b, j][same] = inputs[a + d : b + d][same]
     return out
 
@@ -208,33 +213,74 @@ def _counts(batch: pa.RecordBatch) -> dict:
     return {"word": h, "n": n}
 
 
-def _fit_part(state: bytes, rate: float):
-    """A part's documents move the shared network; the part returns it with its number of tokens."""
+def _outputs(state):
+    """Each document as the numbers of its words' outputs."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        words = Words(batch.column("text"), lower=True)
+        found = state.value[0].look(long(words.hashes()))[1].astype("<u4").tobytes()
+        ends = (4 * words.first).tolist()
+        return {"part": batch.column("part"), "place": batch.column("place"), "outputs": [found[a:b] for a, b in zip(ends, ends[1:], strict=False)]}
+
+    return make
+
+
+def _fit_parts(state, rate: float, total: int):
+    """Over documents sorted by part and place: each part moves the shared network, and returns it times its share of all tokens.
+
+    Minibatches are cut from the part's tokens one after another, whatever batches they come in; numbers are rounded to
+    2**-BITS, so that their sums are the same in any order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, arrays = pickle.loads(state)
-        net, tokens = Network(arrays), 0
-        for batch in slices(batches):
-            words = Words(batch.column("text"), lower=True)
-            inputs, classes, _ = vocabulary.look(long(words.hashes()))
-            context = windows(words, inputs)
-            for a in range(0, len(classes), MINIBATCH):
-                net.learn(context[a : a + MINIBATCH], classes[a : a + MINIBATCH], rate / math.sqrt(1 + tokens / 1e6))
-                tokens += len(classes[a : a + MINIBATCH])
-        if tokens:
-            flat = np.concatenate([x.reshape(-1) for x in net.arrays()])
+        part, net, tokens = None, None, 0
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def learn(last: bool) -> None:
+            nonlocal waiting, size, tokens
+            context, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            a = 0
+            while size - a >= MINIBATCH or (last and a < size):
+                n = min(MINIBATCH, size - a)
+                net.learn(context[a : a + n], target[a : a + n], rate / math.sqrt(1 + tokens / 1e6))
+                tokens, a = tokens + n, a + n
+            waiting, size = [(context[a:], target[a:])], size - a
+
+        def ended() -> pa.RecordBatch:
+            if size:
+                learn(True)
+            flat = np.concatenate([x.reshape(-1) for x in net.arrays()]).astype(np.float64)
+            flat = np.rint(flat * (tokens / total) * 2.0**BITS).astype("<i8")
             pieces = [flat[a : a + PIECE].tobytes() for a in range(0, len(flat), PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array([tokens] * len(pieces), pa.int64())], names=["piece", "values", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array([tokens] * len(pieces), pa.int64())], names=["part", "piece", "values", "tokens"])
+
+        for batch in slices(batches, "outputs"):
+            of = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if of[a] != part:
+                    if tokens or size:
+                        yield ended()
+                    part, net, tokens, waiting, size = int(of[a]), Network(state.value[1]), 0, [], 0
+                rows = [np.frombuffer(x, "<u4") for x in batch.column("outputs").slice(a, b - a).to_numpy(zero_copy_only=False)]
+                target = np.concatenate(rows).astype(np.int64)
+                waiting.append((windows(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), target + 1), target))
+                size += len(target)
+                if size >= MINIBATCH:
+                    learn(False)
+        if tokens or size:
+            yield ended()
 
     return run
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    """One piece of the network, summed over parts by their tokens."""
-    total = 0
-    for x, n in zip(rows.column("values"), rows.column("tokens").to_pylist(), strict=True):
-        total = total + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) * n
-    return pa.table({"piece": rows.column("piece").slice(0, 1), "values": pa.array([total.tobytes()], pa.binary()), "tokens": pa.array([sum(rows.column("tokens").to_pylist())], pa.int64())})
+    """One piece of some networks, summed."""
+    total = np.zeros(len(rows.column("values")[0].as_buffer()) // 8, np.int64)
+    for x in rows.column("values"):
+        total += np.frombuffer(x.as_buffer(), "<i8")
+    return pa.table({"piece": rows.column("piece").slice(0, 1), "values": pa.array([total.astype("<i8").tobytes()], pa.binary()), "tokens": pa.array([sum(rows.column("tokens").to_pylist())], pa.int64())})
 
 
 def _after(word: int, n: int):
@@ -247,8 +293,9 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Vocabulary, Network, DataFra
 
     Word counts are summed by a shuffle over all documents. Outputs and inputs grow with the square root of the corpus's
     words, and so do the counts that come to the driver: of KNOWN times as many words as have an own output, and of the
-    words in each shared one. In each round every part of the corpus trains on all its tokens from the shared network,
-    and the parts' networks are averaged by their tokens: summed piece by piece in Spark.
+    words in each shared one. Documents are dealt to rounds and parts by a hash of their texts, in an order of it too, so
+    that the result doesn't hang on how the table is partitioned. In each round every part trains on all its tokens
+    from the shared network, and the parts' networks are averaged by their tokens: summed piece by piece in Spark.
     """
     spark = docs.sparkSession
     counts = scratch.save(map_arrow(docs.select("text"), "word long, n long", _counts).groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -267,25 +314,25 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Vocabulary, Network, DataFra
     net = Network(split=split, width=width)
     net.start_from(vocabulary.mass)
     shapes = [x.shape for x in net.arrays()]
+    parts, columns = parts_for(total), "piece int, values binary, tokens long"
+    place = F.xxhash64("text")
     for r in range(ROUNDS):
-        state = spark.sparkContext.broadcast(pickle.dumps((vocabulary, net.arrays())))
-        moved = docs.select("text").mapInArrow(_late(state, RATE / (1 + r)), "piece int, values binary, tokens long")
-        pieces = moved.groupBy("piece").applyInArrow(_summed, "piece int, values binary, tokens long").collect()
+        state = spark.sparkContext.broadcast((vocabulary, net.arrays()))
+        own = docs.filter(F.pmod(place, F.lit(ROUNDS)) == r).select("text", place.alias("place"), F.pmod(F.shiftright(place, 8), F.lit(parts)).cast("int").alias("part"))
+        dealt = map_arrow(own, "part int, place long, outputs binary", _outputs(state)).repartition(parts, "part").sortWithinPartitions("part", "place")
+        moved = dealt.mapInArrow(_fit_parts(state, RATE / (1 + r), max(1, total)), f"part int, {columns}")
+        # Summed in two steps of about the square root of the parts each.
+        some = moved.groupBy("piece", F.pmod("part", F.lit(math.isqrt(parts) + 1))).applyInArrow(_summed, columns)
+        pieces = some.groupBy("piece").applyInArrow(_summed, columns).collect()
         if not pieces:
-            break
-        flat = np.concatenate([np.frombuffer(p["values"], np.float64) / p["tokens"] for p in sorted(pieces, key=lambda p: p["piece"])])
+            continue
+        share = pieces[0]["tokens"] / total  # of the corpus in this round
+        flat = np.concatenate([np.frombuffer(p["values"], "<i8") for p in sorted(pieces, key=lambda p: p["piece"])]) / (share * 2.0**BITS)
         cuts = np.cumsum([math.prod(s) for s in shapes])
         net = Network([x.reshape(s) for x, s in zip(np.split(flat, cuts)[:-1], shapes, strict=True)])
     return vocabulary, net, rest
 
 
-def _late(state, rate: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _fit_part(state.value, rate)(batches)
-
-    return run
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, score, mean_score) of every row of ``docs`` (doc_id, text).
 
@@ -305,7 +352,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         words = Words(batch.column("text"), lower=True)
         h = long(words.hashes())
         inputs, outputs, log_p, known = vocabulary.find(h)
-        context = windows(words, inputs)
+        context = windows(words.row, inputs)
         for a in range(0, len(outputs), SCORED):
             s = slice(a, a + SCORED)
             log_p[s] += net.log_probability(context[s], outputs[s])
