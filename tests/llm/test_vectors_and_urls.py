@@ -32,9 +32,11 @@ def usable(row, zero):
     return bool(v) and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))
 
 
-@pytest.mark.parametrize("block", [64, 8192])
-def test_top_k(table, vectors, monkeypatch, block):
+@pytest.mark.parametrize(("block", "seeds"), [(1000, 8192), (1 << 19, 100), (1 << 19, 3)])
+def test_top_k(table, vectors, monkeypatch, block, seeds):
     monkeypatch.setattr(topk, "ROW_BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block // 10)
+    monkeypatch.setattr(topk, "SEED_ROWS", seeds)
     q = {r[0]: np.floor(256 * np.array(r[1], np.float32).astype(float)).astype(np.int64) for r in vectors if usable(r, True)}
     want = set()
     for i in q:
@@ -47,14 +49,33 @@ def test_top_k(table, vectors, monkeypatch, block):
 def test_segment_bounds_hold():
     r = np.random.default_rng(0)
     a, b = r.standard_normal((2, 50, 30))
-    for s in (1, 3, 4, 16, 30):
-        assert (topk.segment_statistics(a, s) @ topk.segment_statistics(b, s).T >= a @ b.T - 1e-9).all()
+    for share in (0, 0.1, 0.5, 0.75, 1):
+        assert (topk.segment_statistics(a, share) @ topk.segment_statistics(b, share).T >= a @ b.T - 1e-9).all()
 
 
-@pytest.mark.parametrize(("window", "block"), [(1024, 2048), (64, 128)])
-def test_near_vectors(table, vectors, monkeypatch, window, block):
+def test_pairs_that_survive():
+    """Correlated vectors: the first levels leave under a fifth of the pairs, and the result is that of brute force."""
+    r = np.random.default_rng(4)
+    x = np.floor(256 * (r.standard_normal((4000, 64)) * 0.9 ** np.arange(64)) @ np.linalg.qr(r.standard_normal((64, 64)))[0])
+    ids = r.permutation(4000)
+    q, least, seen = x[:80], np.full(80, -np.inf), []
+    got = topk.block_top(ids[:80], q, ids, x, 5, topk.rotation(x[1000:2000]), least, seen)
+    score = (q @ x.T).astype(int)
+    want = {(int(ids[i]), int(ids[j]), int(score[i, j])) for i in range(80) for j in sorted((j for j in range(4000) if j != i), key=lambda j: (-score[i, j], ids[j]))[:5]}
+    assert set(zip(*(x.tolist() for x in got), strict=True)) == want
+    pairs = sum(s[0] for s in seen[1:])
+    assert sum(s[1] for s in seen[1:]) < 0.2 * pairs and sum(s[-1] for s in seen[1:]) < 0.05 * pairs
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(None, [9.0, 9.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [0.5, 0.25]), (4, [0.5, 0.25]), (4, [0.5, 0.25])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()]
+    assert len(got) == 2 and {r[2] for r in got} <= {3, 4} and {r[3] for r in got} <= {32768, 16384}
+
+
+@pytest.mark.parametrize("window", [1024, 64])
+def test_near_vectors(table, vectors, monkeypatch, window):
     monkeypatch.setattr(embed_dedup, "WINDOW", window)
-    monkeypatch.setattr(embed_dedup, "BLOCK", block)
     x = {r[0]: np.array(r[1], np.float32).astype(float) for r in vectors if usable(r, False)}
     links = {i: {j for j in x if j != i and len(x[j]) == len(x[i]) and x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= 0.95} for i in x}
     root = {r[0]: r[0] for r in vectors}
@@ -84,6 +105,32 @@ def test_links_of_a_dense_group(spark):
     assert {got[i].component_id for i in range(100, 1700)} == {100}
 
 
+def test_recall_on_planted_groups(spark):
+    """Over 6000 vectors: groups of two to 800 noisy copies at cosines about the threshold, against brute force."""
+    r = np.random.default_rng(12)
+    x = r.standard_normal((6000, 32))
+    at = 0
+    for size in (2, 2, 3, 5, 8, 30, 120, 800, *[2] * 200):
+        x[at : at + size] = x[at] + 0.22 * r.standard_normal((size, 32))
+        at += size
+    x = x.astype(np.float32)
+    order = r.permutation(6000)
+    table = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in order], "vec_id long, embedding array<float>").repartition(5)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert want.sum() > 10_000
+    got = {v.vec_id: v.n_links for v in embed_dedup.near_vectors(table).collect()}
+    n = np.array([got[i] for i in range(6000)])
+    assert (n <= want).all() and n.sum() >= 0.999 * want.sum()
+
+
+def test_repeated_vector_ids(spark):
+    """A null id has no links; an id of two vectors has those of both."""
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0])]
+    got = sorted(map(tuple, embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == sorted([(None, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 1, False)], key=str)
+
+
 def test_empty_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.near_vectors(none).count() == 0 and topk.top_k(none).count() == 0
