@@ -12,9 +12,9 @@ from .common import text_buffers
 from .merges import Merges
 
 #: Fragments a worker remembers in each of two generations: one that is asked for again moves to the younger.
-CACHED = 500_000
+CACHED = 250_000
 #: Bytes of text that are cut, encoded and joined at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LETTER = np.zeros(256, bool)
