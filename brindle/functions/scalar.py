@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from brindle.plans.errors import DialectError, Unsupported
+from brindle.plans.errors import DialectError
 
 from . import moments, texts
-from .values import E, LOWER, UPPER, collation_key, compare, comparable, integer, key, literal, number, real, text, truth, unify, value
+from .values import E, LOWER, UPPER, any_integer, any_of, collation_key, compare, comparable, integer, key, literal, number, real, text, truth, unify, value
 
 INT, REAL, TEXT, BLOB = "INT", "REAL", "TEXT", "BLOB"
 
@@ -17,6 +17,9 @@ def null_guard(sql: str, *args: E) -> str:
 
 
 def _abs(a: E) -> E:
+    if a.cls == "ANY":  # integers stay integers, all else counts as a real
+        is_int = f"{a.sql}.c = 1 AND {a.sql}.k = 0"
+        return E(f"CASE WHEN {is_int} THEN {any_of(E(f'abs({any_integer(a.sql)})', INT))} ELSE {any_of(E(f'abs({number(a).sql})', REAL))} END", "ANY")
     n = number(a)
     if a.cls in ("TEXT", "BLOB"):
         n = E(real(a), REAL)
@@ -34,6 +37,8 @@ def _length(a: E) -> E:
 def _substr(a: E, start: E, size: E | None = None) -> E:
     """Start 0 stands before the first character; a negative length takes what precedes the start."""
     blob = a.cls == BLOB
+    if a.ts and start.const == 1 and size is not None and size.is_const and isinstance(size.const, int) and 1 <= size.const <= 10:
+        return E(f"substring(CAST(CAST({a.ts} AS DATE) AS STRING), 1, {size.const})", TEXT)  # the date alone, without a formatter
     x, s = (a.sql if blob else text(a)), integer(start)
     n = f"{'octet_length' if blob else 'char_length'}({x})"
     if size is None:
@@ -68,7 +73,9 @@ def _round(a: E, digits: E | None = None) -> E:
         n = max(0, min(30, digits.const))
         x = real(a)
         return E(f"if(abs({x}) >= 4503599627370496D, {x}, round({x}, {n}))", REAL)
-    raise Unsupported("round() to a number of digits that varies by row")
+    # Spark's round() takes constant digits only: the format of so many digits rounds half away from zero too.
+    x, n = real(a), f"CAST(least(greatest({integer(digits)}, 0L), 30L) AS INT)"
+    return E(null_guard(f"if(abs({x}) >= 4503599627370496D, {x}, CAST(format_string(concat('%.', {n}, 'f'), {x}) AS DOUBLE))", a, digits), REAL)
 
 
 def _sign(a: E) -> E:

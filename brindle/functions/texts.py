@@ -6,6 +6,7 @@ import re
 
 from brindle.plans.errors import DialectError, Unsupported
 
+from . import formats
 from .values import E, LOOKS_NUMERIC, LOWER, UPPER, integer, literal, quoted, real, text, value
 
 __all__ = ["LOOKS_NUMERIC", "char", "glob", "like", "printf"]
@@ -108,12 +109,12 @@ _SPEC = re.compile(r"%([-+ 0#,!]*)(\*|\d+)?(\.(?:\*|\d*))?([hlqLjzt]*(?=[diufeEg
 
 
 def printf(*args: E) -> E:
-    """printf with a constant format, each conversion as an expression of its own."""
+    """printf: each conversion of a constant format as an expression of its own."""
     if not args:
         return literal(None)
     fmt, rest = args[0], list(args[1:])
     if not fmt.is_const:
-        raise Unsupported("a printf format that varies by row")
+        return _by_row(fmt, rest)
     if fmt.const is None:
         return literal(None)
     out, at, used = [], 0, 0
@@ -149,13 +150,28 @@ def printf(*args: E) -> E:
             width_sql = width
         if precision == ".*":
             p = take()
-            p = p.const if p is not None and p.is_const and isinstance(p.const, int) else 0
+            if p is not None and not p.is_const:
+                return _by_row(fmt, rest)
+            p = abs(p.const) if p is not None and isinstance(p.const, int) else 0
         else:
             p = None if precision is None else int(precision[1:] or 0)
         out.append(_conversion(kind, flags, width_sql, p, take()))
     return E(f"concat({', '.join(out)})", "TEXT") if out else literal("")
 
 
+def _by_row(fmt: E, rest: list[E]) -> E:
+    def tagged(e: E) -> str:
+        e = value(e)
+        if e.cls == "ANY":
+            kind = f"CASE WHEN {e.sql}.c <> 1 THEN 't' WHEN {e.sql}.k = 0 THEN 'i' ELSE 'r' END"
+        else:
+            kind = {"INT": "'i'", "REAL": "'r'"}.get(e.cls, "'t'")
+        return f"coalesce(concat({kind}, {text(e)}), 'n')"
+
+    given = ", ".join(map(tagged, rest))
+    return E(f"{formats.NAME}({text(fmt)}, CAST(array({given}) AS ARRAY<STRING>))", "TEXT")
+
+
 def _pad(body: str, flags: str, width: str | None) -> str:
     if not width or width == "0":
         return body

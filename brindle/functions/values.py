@@ -189,8 +189,12 @@ def cast(e: E, declared: str) -> E:
         return E(integer(e), "INT", a, e.coll)
     if a == "REAL":
         return E(real(e), "REAL", a, e.coll)
-    if e.cls == "ANY" and a in ("BLOB", "NUMERIC"):
-        raise Unsupported(f"CAST of a value of any class AS {declared}")
+    if e.cls == "ANY" and a == "BLOB":
+        return E(f"if({e.sql}.c = 3, {e.sql}.b, CAST({text(e)} AS BINARY))", "BLOB", a, e.coll)
+    if e.cls == "ANY":  # numbers stay as they are
+        t = E(f"if({e.sql}.c = 2, {e.sql}.t, decode({e.sql}.b, 'UTF-8'))", "TEXT")
+        whole = f"NOT rlike({t.sql}, '{REAL_PREFIX}')"
+        return E(f"CASE WHEN {e.sql} IS NULL OR {e.sql}.c = 1 THEN {e.sql} WHEN {whole} THEN {any_of(E(f'({integer(t)})', 'INT'))} ELSE {any_of(number(t))} END", "ANY", a, e.coll)
     if a == "BLOB":
         return E(f"CAST({text(e)} AS BINARY)" if e.cls != "BLOB" else e.sql, "BLOB", a, e.coll)
     n = number(e)
@@ -317,16 +321,33 @@ def _numeric(e: E) -> E:
     return e
 
 
-def exact_pair(a: E, b: E) -> tuple[str, str]:
-    """Numbers of two classes, compared without loss while they are constants that allow it."""
-    if a.cls == b.cls:
-        return a.sql, b.sql
-    i, r = (a, b) if a.cls == "INT" else (b, a)
-    if r.is_const and isinstance(r.const, float) and r.const.is_integer() and abs(r.const) < 2**63:
-        pair = (i.sql, f"{int(r.const)}L")
-    else:
-        pair = (f"CAST({i.sql} AS DOUBLE)", r.sql)
-    return pair if a.cls == "INT" else pair[::-1]
+EXACT = 2**53  # integers up to here are doubles
+FLIPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def compare_mixed(op: str, i: E, r: E) -> str:
+    """An integer with a real, by value: beyond 2**53 a double has no place for every integer."""
+    spark = {"is": "<=>", "is not": "<=>"}.get(op, op)
+    if r.is_const and isinstance(r.const, float):
+        v = r.const
+        if v.is_integer() and abs(v) < 2**63:
+            return f"({i.sql} {spark} {literal(int(v)).sql})"
+        if abs(v) < 2**63 and op in FLIPPED:  # stays a comparison of the column, so scans can skip by it
+            return f"({i.sql} {op} {literal(math.ceil(v) if op in ('<', '>=') else math.floor(v)).sql})"
+    if i.is_const and abs(i.const) <= EXACT:
+        return f"(CAST({i.sql} AS DOUBLE) {spark} {r.sql})"
+    near = f"{i.sql} BETWEEN -{EXACT}L AND {EXACT}L"
+    held = f"{r.sql} < 9223372036854775808D AND {r.sql} >= -9223372036854775808D"
+    whole = f"CASE WHEN {held} THEN CAST({r.sql} AS BIGINT) END"
+    equal = f"(CAST({i.sql} AS DOUBLE) = {r.sql} AND ({near} OR {i.sql} = {whole}))"
+    if op in ("is", "is not"):
+        return f"(({i.sql} IS NULL AND {r.sql} IS NULL) OR coalesce({equal}, FALSE))"
+    if op == "=":
+        return equal
+    if op == "<>":
+        return f"(NOT {equal})"
+    beyond = f"CASE WHEN {r.sql} >= 9223372036854775808D THEN {str(op in ('<', '<=')).upper()} WHEN {r.sql} < -9223372036854775808D THEN {str(op in ('>', '>=')).upper()} ELSE {i.sql} {op} {whole} END"
+    return f"(CASE WHEN {near} THEN CAST({i.sql} AS DOUBLE) {op} {r.sql} ELSE {beyond} END)"
 
 
 def compare(op: str, a: E, b: E) -> E:
@@ -353,11 +374,12 @@ def compare(op: str, a: E, b: E) -> E:
     native = _timestamps(op, a, b, coll)
     if native:
         return E(native, "BOOL")
-    if a.cls == "TEXT":
-        x, y = collation_key(a.sql, coll), collation_key(b.sql, coll)
+    if a.cls != b.cls:
+        sql = compare_mixed(op, a, b) if a.cls == "INT" else compare_mixed(FLIPPED.get(op, op), b, a)
+    elif a.cls == "TEXT":
+        sql = f"({collation_key(a.sql, coll)} {spark} {collation_key(b.sql, coll)})"
     else:
-        x, y = exact_pair(a, b)
-    sql = f"({x} {spark} {y})"
+        sql = f"({a.sql} {spark} {b.sql})"
     return E(f"(NOT {sql})" if op == "is not" else sql, "BOOL")
 
 
@@ -365,9 +387,8 @@ def _timestamps(op: str, a: E, b: E, coll: str | None) -> str | None:
     """Compare a timestamp's text with a date or time literal on the timestamp itself, so that scans can skip by it."""
     import re
 
-    flip = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
     if b.ts and a.is_const:
-        a, b, op = b, a, flip.get(op, op)
+        a, b, op = b, a, FLIPPED.get(op, op)
     if a.ts and b.ts and op in ("=", "<", "<=", ">", ">=") and coll in (None, "BINARY"):
         return None
     if not a.ts or not b.is_const or coll not in (None, "BINARY"):
@@ -388,20 +409,14 @@ def unify(items: list[E]) -> tuple[list[str], str]:
         cls = "BOOL"
     elif classes <= {"BOOL", "INT"}:
         cls = "INT" if classes else "NULL"
-    elif classes <= {"BOOL", "INT", "REAL"}:
-        cls = "REAL"  # integers among reals become reals: a class for each row would take arithmetic out of codegen
-    elif len(classes) == 1:
-        cls = next(iter(classes))
-    else:
-        cls = "ANY"
+    else:  # an integer among reals stays one: a class for each row
+        cls = next(iter(classes)) if len(classes) == 1 else "ANY"
     out = []
     for e in items:
         if e.cls == "NULL":
             out.append(NULLS[cls])
         elif cls == "ANY":
             out.append(any_of(e))
-        elif cls == "REAL":
-            out.append(real(e))
         else:
             out.append(value(e).sql if cls != "BOOL" else e.sql)
     return out, cls

@@ -33,7 +33,7 @@ op("P07_divide", "part", "SELECT p_partkey, p_partkey / p_size AS q, p_partkey /
 op("P08_modulo", "part", "SELECT p_partkey, p_partkey % p_size AS m, p_retailprice % 7 AS r, p_partkey % (p_size - p_size) AS z FROM part", "SELECT p_partkey, p_partkey % p_size AS m, (trunc(p_retailprice)::BIGINT % 7)::DOUBLE AS r, NULL::BIGINT AS z FROM part")
 op("P09_unary", "customer", "SELECT c_custkey, -c_custkey AS neg, +c_acctbal AS pos, -c_acctbal AS negbal FROM customer")
 op("P10_concat", "customer", "SELECT c_custkey, c_name || '/' || c_custkey AS s, c_name || NULL AS n FROM customer", "SELECT c_custkey, c_name || '/' || c_custkey::VARCHAR AS s, NULL::VARCHAR AS n FROM customer")
-op("P11_comparisons", "part", "SELECT p_partkey, p_size = 10 AS eq, p_size == '10' AS eqt, p_size <> 10 AS ne, p_size < 'a' AS lt, p_brand >= 'Brand#3' AS ge FROM part", "SELECT p_partkey, (p_size = 10)::BIGINT AS eq, (p_size = 10)::BIGINT AS eqt, (p_size <> 10)::BIGINT AS ne, 1::BIGINT AS lt, (p_brand >= 'Brand#3')::BIGINT AS ge FROM part")
+op("P11_comparisons", "part", "SELECT p_partkey, p_size = 10 AS eq, p_size == '10' AS eqt, p_size <> 10 AS ne, p_size < 'a' AS lt, p_brand >= 'Brand#3' AS ge, p_partkey + 9007199254740992 = p_partkey + 9007199254740992.0 AS big, p_partkey + 9007199254740992 < p_partkey + 9007199254740992.0 AS lb FROM part", "SELECT p_partkey, (p_size = 10)::BIGINT AS eq, (p_size = 10)::BIGINT AS eqt, (p_size <> 10)::BIGINT AS ne, 1::BIGINT AS lt, (p_brand >= 'Brand#3')::BIGINT AS ge, (p_partkey + 9007199254740992 = (p_partkey::DOUBLE + 9007199254740992::DOUBLE)::BIGINT)::BIGINT AS big, (p_partkey + 9007199254740992 < (p_partkey::DOUBLE + 9007199254740992::DOUBLE)::BIGINT)::BIGINT AS lb FROM part")
 NUL = "CASE WHEN p_size > 25 THEN NULL ELSE p_size END"
 op("P12_three_valued_logic", "part", f"SELECT p_partkey, ({NUL} > 10) AND p_size < 40 AS a, ({NUL} > 10) OR p_size < 5 AS o, NOT ({NUL} > 10) AS n FROM part", f"SELECT p_partkey, (({NUL} > 10) AND p_size < 40)::BIGINT AS a, (({NUL} > 10) OR p_size < 5)::BIGINT AS o, (NOT ({NUL} > 10))::BIGINT AS n FROM part")
 op("P13_null_tests", "part", f"SELECT p_partkey, {NUL} IS NULL AS a, {NUL} NOTNULL AS b, {NUL} ISNULL AS c, {NUL} NOT NULL AS d FROM part", f"SELECT p_partkey, ({NUL} IS NULL)::BIGINT AS a, ({NUL} IS NOT NULL)::BIGINT AS b, ({NUL} IS NULL)::BIGINT AS c, ({NUL} IS NOT NULL)::BIGINT AS d FROM part")
@@ -42,7 +42,7 @@ op("P15_between", "lineitem", "SELECT count(*) AS n FROM lineitem WHERE l_quanti
 op("P16_in_list", "part", f"SELECT p_partkey, p_size IN (1, 2, 3) AS a, {NUL} IN (1, NULL) AS b, p_size NOT IN (5, 6) AS c, p_size IN () AS d FROM part", f"SELECT p_partkey, (p_size IN (1, 2, 3))::BIGINT AS a, ({NUL} IN (1, NULL))::BIGINT AS b, (p_size NOT IN (5, 6))::BIGINT AS c, 0::BIGINT AS d FROM part")
 op("P17_like", "part", "SELECT p_partkey, p_type LIKE '%brass' AS a, p_name LIKE 'a_%' AS b, p_brand LIKE 'brand#1_' AS c, p_type LIKE 'x%' ESCAPE 'x' AS d FROM part", "SELECT p_partkey, (p_type ILIKE '%brass')::BIGINT AS a, (p_name ILIKE 'a_%')::BIGINT AS b, (p_brand ILIKE 'brand#1_')::BIGINT AS c, (p_type = '%')::BIGINT AS d FROM part")
 op("P18_glob", "part", "SELECT p_partkey, p_type GLOB '*BRASS' AS a, p_brand GLOB 'Brand#[1-3]?' AS b, p_name GLOB '[^a-m]*' AS c, p_brand GLOB substr(p_brand, 1, 6) || '*' AS d FROM part", "SELECT p_partkey, (p_type GLOB '*BRASS')::BIGINT AS a, regexp_matches(p_brand, '^Brand#[1-3].$')::BIGINT AS b, regexp_matches(p_name, '^[^a-m]')::BIGINT AS c, 1::BIGINT AS d FROM part")
-op("P19_case", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS a, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' END AS b FROM orders", "SELECT o_orderkey, (CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END)::BIGINT AS a, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' END AS b FROM orders")
+op("P19_case", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS a, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' END AS b, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2.5 END AS c FROM orders", "SELECT o_orderkey, (CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END)::BIGINT AS a, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' END AS b, CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN '2.5' END AS c FROM orders")
 op("P20_truth", "part", "SELECT count(*) AS n, sum(CASE WHEN p_name THEN 1 ELSE 0 END) AS t, sum(CASE WHEN '3x' THEN 1 ELSE 0 END) AS u FROM part WHERE p_size - 7", "SELECT count(*) AS n, 0::BIGINT AS t, count(*) AS u FROM part WHERE p_size <> 7")
 op("P21_cast", "part", "SELECT p_partkey, CAST(p_retailprice AS INTEGER) AS i, CAST(p_size AS REAL) AS r, CAST(p_size AS TEXT) AS t, CAST(substr(p_brand, 7) || 'x' AS INTEGER) AS b FROM part", "SELECT p_partkey, trunc(p_retailprice)::BIGINT AS i, p_size::DOUBLE AS r, p_size::VARCHAR AS t, substr(p_brand, 7)::BIGINT AS b FROM part")
 op("P22_bits", "part", "SELECT p_partkey, p_partkey & 7 AS a, p_partkey | 8 AS o, ~p_partkey AS n, p_partkey << 3 AS l, p_partkey >> 1 AS r, p_partkey << 64 AS z, p_partkey << -1 AS m FROM part", "SELECT p_partkey, p_partkey & 7 AS a, p_partkey | 8 AS o, ~p_partkey AS n, p_partkey << 3 AS l, p_partkey >> 1 AS r, 0::BIGINT AS z, p_partkey >> 1 AS m FROM part")
@@ -122,12 +122,12 @@ op("W18_groups_frame", "part", "SELECT p_partkey, count(*) OVER (PARTITION BY p_
 op("W19_exclude", "part", "SELECT p_partkey, " + ", ".join(f"sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size ROWS BETWEEN 4 PRECEDING AND 2 FOLLOWING EXCLUDE {x}) AS {n}" for n, x in (("a", "CURRENT ROW"), ("b", "GROUP"), ("c", "TIES"))) + " FROM (SELECT p_partkey, p_brand, p_partkey * 1000 + p_size AS p_size FROM part)", "SELECT p_partkey, " + ", ".join(f"(sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size ROWS BETWEEN 4 PRECEDING AND 2 FOLLOWING EXCLUDE {x}))::BIGINT AS {n}" for n, x in (("a", "CURRENT ROW"), ("b", "GROUP"), ("c", "TIES"))) + " FROM (SELECT p_partkey, p_brand, p_partkey * 1000 + p_size AS p_size FROM part)")
 op("W20_window_filter", "events", f"SELECT event_id, count(*) FILTER (WHERE event_type = 'click') OVER ({W}) AS n, max(value) FILTER (WHERE event_type <> 'view') OVER ({W}) AS m FROM events")
 op("W21_named_windows", "events", "SELECT event_id, row_number() OVER w AS n, count(*) OVER (w ROWS 1 PRECEDING) AS c FROM events WINDOW p AS (PARTITION BY user_id), w AS (p ORDER BY ts, event_id)", f"SELECT event_id, row_number() OVER ({W}) AS n, count(*) OVER ({W} ROWS 1 PRECEDING) AS c FROM events")
-op("W22_window_over_groups", "orders", "SELECT o_orderpriority, count(*) AS n, sum(count(*)) OVER (ORDER BY o_orderpriority) AS running FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, count(*) AS n, (sum(count(*)) OVER (ORDER BY o_orderpriority))::BIGINT AS running FROM orders GROUP BY o_orderpriority")
+op("W22_window_over_groups", "orders", "SELECT o_custkey % 40 AS k, count(*) AS n, sum(count(*)) OVER (ORDER BY o_custkey % 40) AS running, sum(count(*)) OVER (ORDER BY o_custkey % 40 ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS beside, count(*) OVER (ORDER BY count(*) / 10 GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS g, max(min(o_orderkey)) OVER (PARTITION BY o_custkey % 40 % 3 ORDER BY count(*) / 20 GROUPS BETWEEN CURRENT ROW AND 2 FOLLOWING EXCLUDE GROUP) AS m FROM orders GROUP BY k HAVING n > 1 ORDER BY n, k", "SELECT o_custkey % 40 AS k, count(*) AS n, (sum(count(*)) OVER (ORDER BY o_custkey % 40))::BIGINT AS running, (sum(count(*)) OVER (ORDER BY o_custkey % 40 ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW))::BIGINT AS beside, count(*) OVER (ORDER BY count(*) // 10 GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS g, max(min(o_orderkey)) OVER (PARTITION BY o_custkey % 40 % 3 ORDER BY count(*) // 20 GROUPS BETWEEN CURRENT ROW AND 2 FOLLOWING EXCLUDE GROUP) AS m FROM orders GROUP BY o_custkey % 40 HAVING count(*) > 1")
 
 # Order, limits, set operations
-op("O01_order_by", "supplier", "SELECT s_name, s_acctbal FROM supplier ORDER BY 2 DESC, s_name LIMIT 50")
-op("O02_nulls_order", "part", f"SELECT p_partkey, {NUL} AS x FROM part ORDER BY x DESC NULLS FIRST, p_partkey LIMIT 1500", f"SELECT p_partkey, ({NUL})::BIGINT AS x FROM part ORDER BY x DESC NULLS FIRST, p_partkey LIMIT 1500")
-op("O03_collated_order", "part", "SELECT p_partkey, p_name FROM part ORDER BY p_name COLLATE NOCASE, p_partkey LIMIT 100", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey LIMIT 100")
+op("O01_order_by", "supplier", "SELECT s_name, s_acctbal FROM supplier ORDER BY 2 DESC, s_name")
+op("O02_nulls_order", "part", f"SELECT p_partkey, {NUL} AS x FROM part ORDER BY x DESC NULLS FIRST, p_partkey", f"SELECT p_partkey, ({NUL})::BIGINT AS x FROM part ORDER BY x DESC NULLS FIRST, p_partkey")
+op("O03_collated_order", "part", "SELECT p_partkey, p_name FROM part ORDER BY p_name COLLATE NOCASE, p_partkey", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey")
 op("O04_limit_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5, 10", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5")
 op("O05_top_k", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 op("O06_top_k_per_group", "orders", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
@@ -137,7 +137,7 @@ op("U03_intersect", "customer supplier", "SELECT c_nationkey AS k FROM customer
 op("U04_except", "nation supplier", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000", "SELECT n_nationkey::BIGINT AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 op("U05_left_associative", "nation supplier customer", "SELECT n_nationkey AS k FROM nation UNION SELECT 100 INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT 3", "SELECT n_nationkey::BIGINT AS k FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey <> 3")
 op("U06_compound_order", "customer supplier", "SELECT c_name AS n FROM customer UNION SELECT s_name FROM supplier ORDER BY n DESC LIMIT 20")
-op("U07_compound_classes", "supplier", "SELECT s_suppkey AS x FROM supplier UNION ALL SELECT s_acctbal FROM supplier", "SELECT s_suppkey::DOUBLE AS x FROM supplier UNION ALL SELECT s_acctbal FROM supplier")
+op("U07_compound_classes", "supplier", "SELECT s_suppkey AS x FROM supplier UNION ALL SELECT s_acctbal FROM supplier", "SELECT s_suppkey::VARCHAR AS x FROM supplier UNION ALL SELECT s_acctbal::VARCHAR FROM supplier")
 
 # Common table expressions
 op("R01_with", "orders customer", "WITH a(k, n) AS (SELECT o_custkey, count(*) FROM orders GROUP BY o_custkey), b AS (SELECT k FROM a WHERE n > 12) SELECT c_name FROM customer JOIN b ON c_custkey = k", "WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT k FROM a WHERE n > 12) SELECT c_name FROM customer JOIN b ON c_custkey = k")
@@ -156,7 +156,7 @@ C, P = "customer", "part"
 op("F01_typeof", P, f"SELECT p_partkey, typeof(p_size) AS a, typeof(p_name) AS b, typeof(p_retailprice) AS c, typeof({NUL}) AS d, typeof(X'00') AS e FROM part", f"SELECT p_partkey, 'integer' AS a, 'text' AS b, 'real' AS c, CASE WHEN {NUL} IS NULL THEN 'null' ELSE 'integer' END AS d, 'blob' AS e FROM part")
 op("F02_abs", C, "SELECT c_custkey, abs(c_acctbal) AS a, abs(-c_custkey) AS b FROM customer")
 op("F03_char", P, "SELECT p_partkey, char(65 + p_size % 26, 8364, 128512) AS c FROM part", "SELECT p_partkey, chr((65 + p_size % 26)::INTEGER) || chr(8364) || chr(128512) AS c FROM part")
-op("F04_coalesce", P, f"SELECT p_partkey, coalesce(NULL, {NUL}, -1) AS a, ifnull({NUL}, 0) AS b FROM part", f"SELECT p_partkey, coalesce({NUL}, -1)::BIGINT AS a, ifnull({NUL}, 0)::BIGINT AS b FROM part")
+op("F04_coalesce", P, f"SELECT p_partkey, coalesce(NULL, {NUL}, -1) AS a, ifnull({NUL}, 0) AS b, coalesce({NUL}, 0.5) AS c, typeof(coalesce({NUL}, 0.5)) AS t FROM part", f"SELECT p_partkey, coalesce({NUL}, -1)::BIGINT AS a, ifnull({NUL}, 0)::BIGINT AS b, coalesce(({NUL})::VARCHAR, '0.5') AS c, CASE WHEN {NUL} IS NULL THEN 'real' ELSE 'integer' END AS t FROM part")
 op("F05_concat", P, f"SELECT p_partkey, concat(p_brand, NULL, {NUL}) AS c FROM part")
 op("F06_concat_ws", P, f"SELECT p_partkey, concat_ws('-', p_brand, {NUL}, p_size) AS c, concat_ws(NULL, 'a') AS n FROM part", f"SELECT p_partkey, concat_ws('-', p_brand, {NUL}, p_size) AS c, NULL::VARCHAR AS n FROM part")
 op("F07_printf", P, "SELECT p_partkey, printf('%05d|%-6d|%x|%s|%.2f|%%', p_size, p_size, p_partkey, p_brand, p_retailprice) AS s FROM part", "SELECT p_partkey, printf('%05d|%-6d|%x|%s|%.2f|%%', p_size, p_size, p_partkey, p_brand, p_retailprice) AS s FROM part")
@@ -179,7 +179,7 @@ op("F23_sign", C, "SELECT c_custkey, sign(c_acctbal) AS a, sign('abc') AS b FROM
 op("F24_substr", P, "SELECT p_partkey, substr(p_name, 2, 3) AS a, substr(p_name, -4) AS b, substr(p_name, 0, 2) AS c, substr(p_name, 3, -2) AS d FROM part", "SELECT p_partkey, substr(p_name, 2, 3) AS a, right(p_name, 4) AS b, left(p_name, 1) AS c, left(p_name, 2) AS d FROM part")
 op("F25_unicode", P, "SELECT p_partkey, unicode(p_name) AS a, unicode('€') AS b FROM part", "SELECT p_partkey, unicode(p_name)::BIGINT AS a, 8364::BIGINT AS b FROM part")
 op("F26_zeroblob", P, "SELECT p_partkey, hex(zeroblob(p_size % 4)) AS z FROM part", "SELECT p_partkey, repeat('00', p_size % 4) AS z FROM part")
-op("F27_iif", P, "SELECT p_partkey, iif(p_size > 25, 'big', 'small') AS a, if(p_size > 25, 1) AS b FROM part", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS a, (CASE WHEN p_size > 25 THEN 1 END)::BIGINT AS b FROM part")
+op("F27_iif", P, "SELECT p_partkey, iif(p_size > 25, 'big', 'small') AS a, if(p_size > 25, 1) AS b, iif(p_size > 25, p_size, -0.5) AS c FROM part", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS a, (CASE WHEN p_size > 25 THEN 1 END)::BIGINT AS b, CASE WHEN p_size > 25 THEN p_size::VARCHAR ELSE '-0.5' END AS c FROM part")
 op("F30_trigonometry", P, "SELECT p_partkey, " + ", ".join(f"round({f}(p_size / 100.0), 9) AS {f}_" for f in ("sin", "cos", "tan", "asin", "acos", "atan")) + ", asin(p_size + 2) AS n FROM part", "SELECT p_partkey, " + ", ".join(f"round({f}(p_size / 100.0), 9) AS {f}_" for f in ("sin", "cos", "tan", "asin", "acos", "atan")) + ", NULL::DOUBLE AS n FROM part")
 op("F31_hyperbolic", P, "SELECT p_partkey, " + ", ".join(f"round({f}(p_size / 100.0{' + 1' if f == 'acosh' else ''}), 9) AS {f}_" for f in ("sinh", "cosh", "tanh", "asinh", "acosh", "atanh")) + " FROM part")
 op("F32_atan2", P, "SELECT p_partkey, round(atan2(p_size, 7), 9) AS a FROM part")

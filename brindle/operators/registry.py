@@ -32,7 +32,7 @@ def run_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_script(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statements but the last; then the last's rows. Statements may fail: that is what some are for."""
     tables, text, _ = SCRIPTS[name]
-    s = session(spark, sf_dir, tables, strict_sums=name.startswith("A06"))
+    s = session(spark, sf_dir, tables)
     *before, last = split_script(text)
     for statement in before:
         try:
@@ -105,6 +105,20 @@ def a18_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
 
 
+def p06_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers of columns that overflow turn into reals, row by row."""
+    return session(spark, sf_dir, "part", wide=True).sql("SELECT p_partkey, iif(typeof(p_partkey * 9223372036854775) = 'integer', p_partkey * 9223372036854775, NULL) AS m, typeof(p_partkey * 9223372036854775) AS t, typeof(p_partkey + 9223372036854775000) AS a, typeof(-2 - p_partkey * 1000) AS s FROM part")
+
+
+def x02_user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beyond the dialect: a scalar, an aggregate and a table function of the user's."""
+    s = session(spark, sf_dir, "part")
+    s.create_function("initials", 1, lambda v: v.str.slice(0, 3))
+    s.create_aggregate("spread", lambda v: float(v.max() - v.min()))
+    s.create_table_function("sizes", "low int, high int", lambda n: ((i, i + 9) for i in range(1, n, 10)), 50)
+    return s.sql("SELECT low, initials(p_type) AS i, spread(p_size) AS d, count(*) AS n FROM part JOIN sizes ON p_size BETWEEN low AND high GROUP BY low, initials(p_type)")
+
+
 def x01_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond the dialect: ten-minute windows over the event stream, run as a stream to its end."""
     from brindle.streaming.events import windowed_counts
@@ -118,6 +132,8 @@ SPECIAL: dict[str, tuple[Query, str]] = {
     "S15_script": (s15_script, "SELECT * FROM (VALUES (0::BIGINT, '1|x'), (1, '2|NULL'), (2, 'Error'), (3, 'a;b')) v(i, line)"),
     "S16_formats": (s16_formats, "SELECT * FROM (VALUES (0::BIGINT, '1'), (1, '1.0'), (2, '1.0e+16'), (3, '1.5e-07'), (4, '0.0'), (5, 'x'), (6, 'X''00FF'''), (7, 'NULL'), (8, '123456789.125'), (9, 'Inf')) t(i, v)"),
     "A18_cube": (a18_grouping_sets, "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"),
+    "P06_overflow": (p06_overflow, "SELECT p_partkey, CASE WHEN p_partkey <= 1000 THEN (p_partkey * 9223372036854775)::VARCHAR ELSE NULL END AS m, CASE WHEN p_partkey <= 1000 THEN 'integer' ELSE 'real' END AS t, CASE WHEN p_partkey <= 807 THEN 'integer' ELSE 'real' END AS a, 'integer' AS s FROM part"),
+    "X02_user_functions": (x02_user_functions, "SELECT low::BIGINT AS low, p_type[1:3] AS i, (max(p_size) - min(p_size))::DOUBLE AS d, count(*) AS n FROM part JOIN (SELECT i * 10 + 1 AS low FROM range(5) r(i)) ON p_size BETWEEN low AND low + 9 GROUP BY 1, 2"),
     "X01_event_windows": (x01_event_windows, "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
 }
 

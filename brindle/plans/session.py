@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions.values import ANY_TYPE, E, affinity, any_of, fits, constant_stored, ident, known_collation, literal, stored, truth
+from brindle.functions import formats
+from brindle.functions.values import ANY_TYPE, E, affinity, any_of, fits, constant_stored, ident, known_collation, literal, stored, text, truth, value
 
 from . import ast as A
 from .errors import DialectError, Unsupported
@@ -104,10 +105,17 @@ class Catalog:
 
 
 class Session:
-    """Runs statements of the dialect. Queries over input tables stay lazy DataFrames; DML makes new table versions."""
+    """Runs statements of the dialect. Queries over input tables stay lazy DataFrames; DML makes new table versions.
 
-    def __init__(self, spark: SparkSession, strict_sums: bool = False):
-        self.spark, self.strict_sums = spark, strict_sums
+    Integer arithmetic on columns is 64-bit and in generated code; where it overflows, run() lowers the statement once
+    more with results that may be integers or reals by row. ``wide`` lowers so from the start, for lazy frames.
+    """
+
+    def __init__(self, spark: SparkSession, wide: bool = False):
+        self.spark, self.wide = spark, wide
+        formats.register(spark)
+        self.functions: dict = {}  # of the user: name -> what lowers a call
+        self.aggregates: dict = {}  # name -> (Spark's name, class)
         self.catalog = Catalog()
         self.saved: Catalog | None = None  # at BEGIN
         self.savepoints: list[tuple[str, Catalog]] = []
@@ -127,6 +135,52 @@ class Session:
         for n in names:
             self.register(n, self.spark.read.parquet(f"{sf_dir}/{n}.parquet"))
 
+    # Functions
+
+    def create_function(self, name: str, arguments: int, function, returns: str = "TEXT") -> None:
+        """A scalar function of the user's, over Arrow batches: ``function`` gets pandas Series and returns one.
+
+        Values come as their text, number or bytes; one whose class varies by row comes as text. ``returns`` is INT, REAL,
+        TEXT or BLOB.
+        """
+        from pyspark.sql.functions import pandas_udf
+
+        spark_name = f"brindle_{uuid.uuid4().hex}"
+        self.spark.udf.register(spark_name, pandas_udf(function, SPARK_OF[returns].lower()))
+
+        def call(args: list[E]) -> E:
+            if arguments >= 0 and len(args) != arguments:
+                raise DialectError(f"wrong number of arguments to function {name}()")
+            return E(f"{spark_name}({', '.join(text(a) if a.cls == 'ANY' else value(a).sql for a in args)})", returns)
+
+        self.functions[name.lower()] = call
+
+    def create_aggregate(self, name: str, function, returns: str = "REAL") -> None:
+        """An aggregate of the user's over one value: ``function`` gets a group's values, without NULLs, as a pandas Series.
+
+        A group comes together in one task, so it is for groups that fit there; built-in aggregates are reduced first.
+        """
+        import pandas as pd
+        from pyspark.sql.functions import pandas_udf
+
+        spark_name, kind = f"brindle_{uuid.uuid4().hex}", {"INT": int, "REAL": float, "TEXT": str}[returns]
+
+        def whole(v: pd.Series) -> kind:
+            return function(v.dropna())
+
+        self.spark.udf.register(spark_name, pandas_udf(whole, SPARK_OF[returns].lower()))
+        self.aggregates[name.lower()] = (spark_name, returns)
+
+    def create_table_function(self, name: str, columns: str, function, *arguments) -> None:
+        """The rows that ``function(*arguments)`` yields, of ``columns`` (names and Spark types), as an input table."""
+        from pyspark.sql.functions import udtf
+
+        class Rows:
+            def eval(self, *given):
+                yield from function(*given)
+
+        self.register(name, udtf(Rows, returnType=columns)(*[F.lit(a) for a in arguments]))
+
     # Names
 
     def lookup(self, name: str, lowering: Lowering):
@@ -182,7 +236,7 @@ class Session:
     # Queries
 
     def lowering(self) -> Lowering:
-        return Lowering(self.lookup, self.counters, Recursion(self.spark), self.strict_sums, self.evaluate)
+        return Lowering(self.lookup, self.counters, Recursion(self.spark), self.evaluate, self.wide, self.functions, self.aggregates)
 
     def evaluate(self, sql: str):
         """A constant expression's value, for limits and frames that aren't literals."""
@@ -199,14 +253,28 @@ class Session:
         return self.frame(self.lower(text))
 
     def frame(self, rel: Rel) -> DataFrame:
-        df = self.spark.sql(rel.sql)
-        return df.toDF(*[o.name for o in rel.columns])
+        """Columns of one class as they are; one whose class varies by row as text, as a script prints it (blobs as X'..')."""
+        df = self.spark.sql(rel.sql).toDF(*[f"k{i}" for i in range(len(rel.columns))])
+        shown = [F.expr(f"CASE WHEN k{i}.c = 3 THEN concat('X\\'', hex(k{i}.b), '\\'') ELSE {text(E(f'k{i}', 'ANY'))} END").alias(f"k{i}") if o.cls == "ANY" else F.col(f"k{i}") for i, o in enumerate(rel.columns)]
+        return df.select(*shown).toDF(*[o.name for o in rel.columns])
 
     # Statements
 
     def run(self, text: str) -> tuple[list[Out], list[tuple]] | None:
         """Run one statement; (columns, rows) if it returns rows. A failing statement leaves nothing behind."""
         s = parse(text)
+        try:
+            return self._run(s)
+        except Exception as e:
+            if self.wide or "ARITHMETIC_OVERFLOW" not in str(e):
+                raise
+            self.wide = True
+            try:
+                return self._run(s)
+            finally:
+                self.wide = False
+
+    def _run(self, s):
         if isinstance(s, A.Query):
             rel = self.lowering().query(s)
             return rel.columns, self.collect(rel)
@@ -356,19 +424,24 @@ class Session:
         if data is None:
             data, t.rows = self.spark.createDataFrame([], schema), 0
         else:
-            head = data.limit(LOCAL_ROWS + 1).collect()
-            if len(head) <= LOCAL_ROWS:
-                data, t.rows = self.spark.createDataFrame(sorted((tuple(r) for r in head), key=lambda r: r[0]), schema), len(head)
-            else:
-                base = self.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-                path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
-                data.write.parquet(path)
-                data = self.spark.read.schema(data.schema).parquet(path)
-                t.rows = data.count()
+            data, t.rows = self.kept(data, schema)
         t.data, t.view = data, f"brindle_{uuid.uuid4().hex}"
         data.createOrReplaceTempView(t.view)
         self.catalog.tables[t.name.lower()] = t
 
+    def kept(self, data: DataFrame, schema: T.StructType) -> tuple[DataFrame, int]:
+        """The rows as a table of their own, and how many. The plan runs once: it is written where it may be large."""
+        known = data._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        if int(str(known)) <= LOCAL_BYTES:
+            head = data.limit(LOCAL_ROWS + 1).collect()
+            if len(head) <= LOCAL_ROWS:
+                return self.spark.createDataFrame(sorted((tuple(r) for r in head), key=lambda r: r[0]), schema), len(head)
+        base = self.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+        path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+        data.write.parquet(path)
+        data = self.spark.read.schema(data.schema).parquet(path)
+        return data, data.count()
+
     def do_create_view(self, s):
         if kind := self.taken(s.name):
             if s.quiet and kind != "index":
@@ -484,13 +557,9 @@ class Session:
             raise DialectError(f"table {name} may not be modified")
         raise DialectError(f"no such table: {name}")
 
-    @staticmethod
-    def numbered(df: DataFrame, base: int) -> DataFrame:
+    def numbered(self, df: DataFrame, base: int) -> DataFrame:
         """Rows with _rowid_ from base + 1 on, in their order."""
-        rdd_free = df.withColumn("_order_", F.monotonically_increasing_id())
-        from pyspark.sql import Window
-
-        return rdd_free.withColumn("_rowid_", F.row_number().over(Window.orderBy("_order_")).cast("long") + F.lit(base)).drop("_order_")
+        return counted(self.settled(df.withColumn("_order_", F.monotonically_increasing_id())), "_rowid_", base).drop("_order_")
 
     def row_scope(self, t: Table, alias: str, extra: list | None = None, ctes: dict | None = None) -> Scope:
         from .lower import Column
@@ -602,13 +671,25 @@ class Session:
             top = max(top, t.sequence)
         if top >= 2**63 - 1:
             raise DialectError("database or disk is full")
-        w = Window.orderBy("_order_").rowsBetween(Window.unboundedPreceding, -1)
-        # Between given ids, others count on from the largest so far.
-        seen = F.greatest(F.lit(top), F.coalesce(F.max("_given_").over(w), F.lit(top)))
-        rows = rows.withColumn("_seen_", seen)
-        group = Window.partitionBy("_seen_").orderBy("_order_")
-        rows = rows.withColumn("_nth_", F.count(F.when(F.col("_given_").isNull(), 1)).over(group))
-        return rows.withColumn("_rowid_", F.coalesce("_given_", F.col("_seen_") + F.col("_nth_"))).drop("_seen_", "_nth_")
+        given, rest = rows.agg(F.count("_given_"), F.count_if(F.col("_given_").isNull())).first()
+        if not rest:
+            return rows.withColumn("_rowid_", F.col("_given_"))
+        if not given:
+            return counted(rows, "_rowid_", top)
+        # Between given ids, others count on from the largest so far. Rows of a part of the order are looked at together,
+        # after what the parts before have brought.
+        rows = rows.withColumn("_part_", F.shiftright("_order_", 33))
+        largest = rows.groupBy("_part_").agg(F.max("_given_").alias("_most_"))
+        largest = largest.select("_part_", F.max("_most_").over(Window.orderBy("_part_").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier_"))
+        rows = rows.join(largest, "_part_")
+        w = Window.partitionBy("_part_").orderBy("_order_").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_seen_", F.greatest(F.lit(top), F.coalesce("_earlier_", F.lit(top)), F.coalesce(F.max("_given_").over(w), F.lit(top))))
+        # Of the rows since the same largest id: those of earlier parts, then those before in the same part.
+        here = F.count(F.when(F.col("_given_").isNull(), 1)).over(Window.partitionBy("_seen_", "_part_").orderBy("_order_"))
+        sums = rows.groupBy("_seen_", "_part_").agg(F.count_if(F.col("_given_").isNull()).alias("_n_"))
+        sums = sums.select("_seen_", "_part_", F.coalesce(F.sum("_n_").over(Window.partitionBy("_seen_").orderBy("_part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base_"))
+        rows = rows.withColumn("_nth_", here).join(sums, ["_seen_", "_part_"])
+        return rows.withColumn("_rowid_", F.coalesce("_given_", F.col("_seen_") + F.col("_base_") + F.col("_nth_"))).drop("_seen_", "_nth_", "_base_", "_part_", "_earlier_")
 
     def keys(self, t: Table, u: Unique) -> tuple[list[str], str | None]:
         """SQL of a unique key over a row of alias x, and the condition under which it holds."""
@@ -839,13 +920,25 @@ class Session:
                 hit = hit.join(bad, "old_", "left_anti")
             else:
                 both = new.select(*q).unionByName(others.select(*q))
-                if both.groupBy(*q).count().filter("count > 1").limit(1).count():
+                clash = both.groupBy(*q).count().filter("count > 1").limit(1).count()
+                if not clash and self.sets_key(t, u, s.sets):
+                    # Rows change one after another: a new key must not be one that a later row still has.
+                    before = self.key_frame(t, u, t.data.join(hit.select(F.col("old_").alias("_rowid_")), "_rowid_", "left_semi")).select(F.col("_rowid_").alias("later_"), *q)
+                    clash = new.join(before, q).filter("later_ > old_").limit(1).count()
+                if clash:
                     raise DialectError(f"UNIQUE constraint failed: {t.name}.{'rowid' if u is None else u.columns[0].column if isinstance(u.columns[0], A.Name) else 'expression'}")
         n = hit.count()
         self.affected = hit.orderBy("old_").select(*names)
         self.finish(t, rest.select(*names).unionByName(hit.select(*names)), n)
         return self.returned(t, s, with_scope)
 
+    def sets_key(self, t: Table, u: Unique | None, sets) -> bool:
+        """Whether an UPDATE assigns a column of a key."""
+        names = {self.target(t, n) for some, _ in sets for n in some}
+        if u is None:
+            return -1 in names or t.rowid_alias in names
+        return any(not isinstance(x, A.Name) or self.column_index(t, x.column) in names for x in u.columns)
+
     def widen_for(self, t: Table, low: Lowering, scope: Scope, sets) -> None:
         for names, e in sets:
             exprs = e.args if isinstance(e, A.Call) and e.name == "row" else (e,)
@@ -895,13 +988,30 @@ class Session:
                 return view, self.table_source(t)[1]
             return found(name, lowering)
 
-        low = Lowering(lookup, self.counters, Recursion(self.spark), self.strict_sums, self.evaluate)
+        low = Lowering(lookup, self.counters, Recursion(self.spark), self.evaluate, self.wide, self.functions, self.aggregates)
         rel = low.query(A.Query(A.Core(tuple(s.returning), A.TableRef("\0changed", s.alias or t.name))))
         return rel.columns, self.collect(rel)
 
 
 #: Rows of a table that stay local to the driver; a larger version is written to the shared folder.
 LOCAL_ROWS = 20_000
+#: Estimated bytes of a plan's rows up to which it is worth a look whether these are few.
+LOCAL_BYTES = 4 << 20
+
+
+def counted(rows: DataFrame, name: str, base: int) -> DataFrame:
+    """Rows numbered from base + 1 on by _order_, a monotonically_increasing_id() that is settled.
+
+    Its upper bits are a partition's number: rows are numbered inside a partition's, after the counts of those before.
+    """
+    from pyspark.sql import Window
+
+    part = F.shiftright("_order_", 33)
+    own = F.row_number().over(Window.partitionBy("_part_").orderBy("_order_"))
+    sizes = rows.groupBy(part.alias("_part_")).agg(F.count("*").alias("_n_"))
+    bases = sizes.select("_part_", F.coalesce(F.sum("_n_").over(Window.orderBy("_part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base_"))
+    out = rows.withColumn("_part_", part).withColumn("_own_", own).join(F.broadcast(bases), "_part_")
+    return out.withColumn(name, (F.col("_base_") + F.col("_own_") + F.lit(base)).cast("long")).drop("_part_", "_own_", "_base_")
 
 
 def rename_column(node, old: str, new: str):
