@@ -5,25 +5,29 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, light, map_arrow, whole_documents
+from .common import Scratch, arrow_schema, light, map_arrow, shuffle_partitions, whole_documents
 from .components import connected_components
-from .hashing import U64, Words, grams, long, mix
+from .hashing import U64, Words, byte_runs, grams, long, mix
 
 #: Bands at least, bins of a band, and probability at most that a pair at the threshold shares no band.
 BANDS, ROWS, MISS = 25, 5, 1e-5
 #: A pair is confirmed on full sets unless its sketches, of an entry a bin, agree in less than the threshold minus this:
 #: over six standard deviations, so that none is lost.
 SLACK = 0.22
-#: Centres of a bucket's stars in the first round; each later round takes up to eight times as many.
+#: Centres of a bucket's stars.
 CENTRES = 2
-#: Bands of the first pass: it joins most of a large group, so that the second, of all bands, finds its buckets closed.
+#: Bands of the first pass, of one centre a bucket: it joins most of a large group, so that the second, of all bands,
+#: finds its buckets closed.
 FEW = 3
+#: Shingles of either side of a tile, on average: what a task compares at once.
+TILE = 1 << 17
 
 
 def bands_for(threshold: float) -> int:
@@ -161,62 +165,153 @@ def _hopeful(docs: DataFrame, members: DataFrame, sketches: DataFrame, size: int
     sizes = scratch.save(sizes.select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("r")), "sizes")
     sized = members.join(light(sizes), "doc_id")
     least = sized.groupBy("bucket").agg(F.min("n").alias("m"))
-    kept = sized.join(least, "bucket").filter(ratio[1] * F.col("r") >= ratio[0] * (F.col("n") + F.greatest("m", "r") - F.col("r"))).select("bucket", "doc_id", "c").distinct()
-    return _open(kept)
+    kept = sized.join(least, "bucket").filter(ratio[1] * F.col("r") >= ratio[0] * (F.col("n") + F.greatest("m", "r") - F.col("r")))
+    return _open(kept.groupBy("bucket", "doc_id", "c").agg(F.max("n").alias("n")))
 
 
 def _open(members: DataFrame) -> DataFrame:
     """Members of buckets of several components."""
     several = members.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
-    return members.join(several, "bucket").select("bucket", "doc_id", "c")
-
-
-def _linked(docs: DataFrame, own: DataFrame, stars: DataFrame, bands: int | None, size: int, ratio: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """(id, component) after comparing what shares one of the first ``bands`` bands, or any, beyond the components of ``stars``."""
+    return members.join(several, "bucket").select(members.columns)
+
+
+def _first_common(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether ``bucket`` is the first band that two signatures share, or they share none, for all pairs of rows."""
+    equal = a[:, None, :] == b[None, :, :]
+    place = equal.argmax(axis=2)
+    return ~equal.any(axis=2) | (a[np.arange(len(a))[:, None], place] == bucket)
+
+
+def tile_links(bucket: int, ids: np.ndarray, c: np.ndarray, head: np.ndarray, bands: np.ndarray, hashes: list[np.ndarray], ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): links of the heads with documents of other components, one for each head and component that it has a link with."""
+    n = np.array([len(h) for h in hashes])
+    heads, rest = np.flatnonzero(head), np.flatnonzero(~head)
+    if not len(heads) or not len(rest):
+        return ids[:0], ids[:0]
+    where = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    mark = np.zeros(int(where.max(initial=0)) + 1, bool)
+    us, vs = [], []
+    for a in range(0, len(heads), 64):
+        some = heads[a : a + 64]
+        ask = (c[some][:, None] != c[rest][None, :]) & _first_common(bands[some], bands[rest], bucket)
+        ask &= ratio[1] * np.minimum(n[some][:, None], n[rest][None, :]) >= ratio[0] * np.maximum(n[some][:, None], n[rest][None, :])
+        for k, i in enumerate(some.tolist()):
+            j = rest[ask[k]]
+            if not len(j):
+                continue
+            own = where[ends[i] - n[i] : ends[i]]
+            mark[own] = True
+            hit = mark[where[byte_runs(ends[j] - n[j], n[j])]]
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[j]) - n[j])
+            mark[own] = False
+            j = j[ratio[1] * both >= ratio[0] * (n[i] + n[j] - both)]
+            j = j[np.unique(c[j], return_index=True)[1]]
+            us.append(np.full(len(j), ids[i]))
+            vs.append(ids[j])
+    return (np.concatenate(us), np.concatenate(vs)) if us else (ids[:0], ids[:0])
+
+
+def _tiles(ratio: tuple[int, int]):
+    """Over rows sorted by tile: the links of each."""
+    schema = arrow_schema("u long, v long")
+
+    def linked(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        bands = np.stack(t.column("bands").combine_chunks().to_numpy(zero_copy_only=False))
+        hashes = [np.frombuffer(h, U64) for h in t.column("hashes").to_pylist()]
+        ids, c, head = (t.column(x).to_numpy() for x in ("doc_id", "c", "head"))
+        made = tile_links(t.column("bucket")[0].as_py(), ids, c, head.astype(bool), bands, hashes, ratio)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(x).to_numpy() for x in ("bucket", "mp", "hp")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                own = tuple(keys[a].tolist())
+                if held and own != before:
+                    yield linked(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                before = own
+        if held:
+            yield linked(held)
+
+    return run
+
+
+def _completed(docs: DataFrame, members: DataFrame, own: DataFrame, size: int, ratio: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """(u, v): links in open buckets between documents outside the bucket's largest component and all of other components.
+
+    Both sides are cut into parts, and each two of these meet in one task with their full sets. A pair is compared in
+    the first band that it shares. What comes out is linear in rows: a link for each document and component.
+    """
+    ids = scratch.save(members.select("doc_id").distinct(), "ids")
+    sets = map_arrow(docs.join(light(ids), "doc_id", "left_semi"), "doc_id long, key binary, hashes binary", _sets(size)).filter("key is not null").dropDuplicates(["doc_id", "key"])
+    sets = scratch.save(sets.join(own.select("doc_id", "key", "bands"), ["doc_id", "key"]), "sets")
+    sizes = members.groupBy("bucket", "c").agg(F.sum("n").alias("n"), F.count("*").alias("size"))
+    facts = sizes.groupBy("bucket").agg(F.max_by(F.struct("c", "n"), F.struct("size", "c")).alias("most"), F.sum("n").alias("all"))
+    parts = lambda n: F.ceil(n / TILE).cast("int")
+    facts = facts.select("bucket", F.col("most.c").alias("most"), parts(F.col("all")).alias("mps"), parts(F.col("all") - F.col("most.n")).alias("hps"))
+    rows = members.join(facts, "bucket")
+    part = lambda of: F.pmod(F.xxhash64("doc_id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    named = ("bucket", "doc_id", "c")
+    sides = rows.select(*named, part("mps").alias("mp"), every("hps").alias("hp"), F.lit(False).alias("head"))
+    sides = sides.unionByName(rows.filter("c <> most").select(*named, every("mps").alias("mp"), part("hps").alias("hp"), F.lit(True).alias("head")))
+    tile = ("bucket", "mp", "hp")
+    dealt = sides.join(light(sets), "doc_id").select(*named, "mp", "hp", "head", "bands", "hashes")
+    return dealt.repartition(shuffle_partitions(docs.sparkSession), *tile).sortWithinPartitions(*tile).mapInArrow(_tiles(ratio), "u long, v long")
+
+
+def _linked(docs: DataFrame, own: DataFrame, stars: DataFrame, bands: int | None, size: int, ratio: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, component) after comparing the stars of buckets of the first ``bands`` bands, or of all; and (bucket, doc_id, c) of what may be linked yet.
+
+    Buckets of several components compare all members with their centres: at first the smallest ids, then the smallest
+    outside the largest component, for pairs inside that need no look.
+    """
     nodes = own.select("doc_id", F.slice("bands", 1, bands).alias("bands") if bands else "bands")
     nodes = nodes.join(light(stars, F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     rows = nodes.select("doc_id", F.coalesce("component", "doc_id").alias("c"), F.explode("bands").alias("bucket"))
     several = scratch.save(rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket"), "several")
     members = scratch.save(rows.join(light(several), "bucket").select("bucket", "doc_id", "c").distinct(), "members")
+    if members.isEmpty():
+        return stars, members
     ids = scratch.save(members.select("doc_id").distinct(), "ids")
     sketches = scratch.save(own.select("doc_id", "key", "n", "sketch").join(light(ids), "doc_id", "left_semi"), "sketches")
-    start, centres = bands is not None, CENTRES
-    if not start and not members.isEmpty():
-        members = scratch.save(_hopeful(docs, members, sketches, size, ratio, scratch), "members")
-    while not members.isEmpty():
-        # Centres: at first the smallest ids of every bucket; then of those outside its largest component, for pairs
-        # inside that need no look. Before the shuffle each task keeps only so many of a bucket.
-        able = members
-        if not start:
-            sizes = members.groupBy("bucket", "c").agg(F.count("*").alias("size"))
-            able = members.join(sizes.groupBy("bucket").agg(F.max_by("c", "size").alias("most")), "bucket").filter("c <> most")
-        start = False
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        heads = able.withColumn("place", place).filter(F.col("place") <= centres).select("bucket", F.col("doc_id").alias("u"), F.col("c").alias("cu"))
-        heads = scratch.save(heads, "centres")
-        pairs = members.join(light(heads), "bucket").filter("c <> cu")
-        pairs = pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
-        side = light(sketches)
-        left = side.select(F.col("doc_id").alias("u"), F.col("key").alias("ku"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
-        right = side.select(F.col("doc_id").alias("v"), F.col("key").alias("kv"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-        near = scratch.save(map_arrow(pairs.join(left, "u").join(right, "v"), "u long, v long, ku binary, kv binary", _agreeing(ratio[0] / ratio[1] - SLACK, ratio), None), "near")
-        ends = scratch.save(near.select(F.col("u").alias("doc_id"), F.col("ku").alias("key")).unionByName(near.select(F.col("v").alias("doc_id"), F.col("kv").alias("key"))).distinct(), "ends")
-        sets = map_arrow(docs.join(light(ends, "doc_id"), "doc_id", "left_semi"), "doc_id long, key binary, hashes binary", _sets(size))
-        sets = scratch.save(sets.filter("key is not null").dropDuplicates(["doc_id", "key"]), "sets")
-        hu = sets.select(F.col("doc_id").alias("u"), F.col("key").alias("ku"), F.col("hashes").alias("hu"))
-        hv = sets.select(F.col("doc_id").alias("v"), F.col("key").alias("kv"), F.col("hashes").alias("hv"))
-        found = map_arrow(near.join(hu, ["u", "ku"]).join(hv, ["v", "kv"]), "u long, v long", _confirmed(ratio), None)
-        found = found.unionByName(stars.select(F.col("id").alias("u"), F.col("component").alias("v")))
-        stars = scratch.save(connected_components(found, scratch), "stars")
-        # Buckets go on with the members that were no centre, while these are of several components.
+    able, centres = members, 1
+    if bands is None:
+        sizes = members.groupBy("bucket", "c").agg(F.count("*").alias("size"))
+        able, centres = members.join(sizes.groupBy("bucket").agg(F.max_by("c", F.struct("size", "c")).alias("most")), "bucket").filter("c <> most"), CENTRES
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
+    heads = able.withColumn("place", place).filter(F.col("place") <= centres).select("bucket", F.col("doc_id").alias("u"), F.col("c").alias("cu"))
+    heads = scratch.save(heads, "centres")
+    pairs = members.join(light(heads), "bucket").filter("c <> cu")
+    pairs = pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
+    side = light(sketches)
+    left = side.select(F.col("doc_id").alias("u"), F.col("key").alias("ku"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+    right = side.select(F.col("doc_id").alias("v"), F.col("key").alias("kv"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+    near = scratch.save(map_arrow(pairs.join(left, "u").join(right, "v"), "u long, v long, ku binary, kv binary", _agreeing(ratio[0] / ratio[1] - SLACK, ratio), None), "near")
+    ends = scratch.save(near.select(F.col("u").alias("doc_id"), F.col("ku").alias("key")).unionByName(near.select(F.col("v").alias("doc_id"), F.col("kv").alias("key"))).distinct(), "ends")
+    sets = map_arrow(docs.join(light(ends, "doc_id"), "doc_id", "left_semi"), "doc_id long, key binary, hashes binary", _sets(size))
+    sets = scratch.save(sets.filter("key is not null").dropDuplicates(["doc_id", "key"]), "sets")
+    hu = sets.select(F.col("doc_id").alias("u"), F.col("key").alias("ku"), F.col("hashes").alias("hu"))
+    hv = sets.select(F.col("doc_id").alias("v"), F.col("key").alias("kv"), F.col("hashes").alias("hv"))
+    found = map_arrow(near.join(hu, ["u", "ku"]).join(hv, ["v", "kv"]), "u long, v long", _confirmed(ratio), None)
+    found = found.unionByName(stars.select(F.col("id").alias("u"), F.col("component").alias("v")))
+    stars = scratch.save(connected_components(found, scratch), "stars")
+    if bands is None:
+        # Centres have met all of their bucket; the others go on where these are of several components.
         rest = members.select("bucket", "doc_id").join(light(heads, "bucket", F.col("u").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
         rest = rest.join(light(stars, F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        after = scratch.save(_open(rest), "members")
-        if not after.isEmpty():
-            after = scratch.save(_hopeful(docs, after, sketches, size, ratio, scratch), "members")
-        scratch.drop(members, near, sets, heads)
-        members, centres = after, 8 * centres
-    return stars
+        rest = scratch.save(_open(rest), "members")
+        members = rest if rest.isEmpty() else scratch.save(_hopeful(docs, rest, sketches, size, ratio, scratch), "members")
+    scratch.drop(near, sets, heads)
+    return stars, members
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -224,11 +319,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80
 
     Documents are linked when intersection / union of their sets of ``size``-word shingles is at least ratio[0] /
     ratio[1], confirmed on full sets. Documents of equal sets are one class, compared once through its smallest id.
-    Class representatives meet in buckets of equal bands, first of FEW bands, then of all; in each round every bucket
-    compares all its members with its CENTRES smallest (then with up to 8, 64 ... times as many) and lets these go, and
-    those that can't be linked with any other, until its members are one component or all compared: stars keep pairs in
-    proportion to rows, and no link between different texts that share a bucket is lost. Pairs already in one component
-    aren't compared. A pair at the threshold shares no band with probability below
+    Class representatives meet in buckets of equal bands, first of FEW bands, then of all: every bucket compares its
+    members with its smallest ids, so stars keep pairs in proportion to rows. What is in buckets of several components
+    then, but for documents that can't be linked with any there, is compared whole in tiles of bounded size, those
+    outside the largest component with all others: no link between different texts that share a bucket is lost, and
+    pairs already in one component aren't compared. A pair at the threshold shares no band with probability below
     1e-5 (at 0.8, by 29 bands) or 1e-6 (at 0.85, by 25).
 
     Null and empty texts, and texts of separators only, have 0 shingles and link with nothing. Rows with a null doc_id
@@ -248,7 +343,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, ratio: tuple[int, int] = (80
     versions = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").select(F.col("rep").alias("u"), "v")
     stars = scratch.save(connected_components(versions, scratch), "stars")
     for bands in (FEW, None):
-        stars = _linked(docs, own, stars, bands, size, ratio, scratch)
+        stars, left = _linked(docs, own, stars, bands, size, ratio, scratch)
+    if not left.isEmpty():
+        links = _completed(docs, left, own, size, ratio, scratch).unionByName(stars.select(F.col("id").alias("u"), F.col("component").alias("v")))
+        stars = scratch.save(connected_components(links, scratch), "stars")
     base = marks.select("doc_id", "n", "key").join(classes, "key", "left")
     base = base.join(light(stars, F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

@@ -239,6 +239,12 @@ def test_encode_decode(docs, rows, library):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_encode_decode_empty(empty, spark):
+    assert bpe.encode_decode(empty).count() == 0
+    got = bpe.encode_decode(spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2)], "doc_id long, text string, ids_sha256 int")).collect()
+    assert len(got) == 3 and {(r.n_tokens, r.ids_sha256) for r in got} == {(0, hashlib.sha256(b"").hexdigest())}
+
+
 ODD = ["a", "B", "é", " ", "\n", ",", ".", "'s", "'", "1", "²", "\u00a0", "\x1c", "\x85", "日", "<", "|", "$", "\t", "\u0301", "İ", "Σ", "<|endoftext|>"]
 
 
@@ -349,6 +355,44 @@ def test_quality_without_labels(docs, spark):
     assert {r.score for r in quality.score_quality(docs, none).collect()} == {0.5}
 
 
+def test_quality_of_odd_rows(spark, empty):
+    """Empty tables, null and repeated ids, columns with names of its own; each row is kept by its own text."""
+    rows = [(i, body(i, 40, 500) if i % 2 else " ".join("$" + w for w in body(i, 40, 500).split())) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    odd = [(None, rows[0][1]), (7, rows[2][1]), (7, rows[1][1]), (7, rows[1][1]), (900, None), (901, "")]
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in rows + odd], "doc_id long, text string, score long, predicted string")
+    assert quality.score_quality(empty, labels).count() == 0 and quality.keep_quality(empty, labels).count() == 0
+    kept = quality.keep_quality(docs, labels)
+    assert kept.columns == docs.columns
+    by_id = {}
+    for r in kept.collect():
+        by_id.setdefault(r.doc_id, []).append(r.text)
+    assert None not in by_id and len(by_id[7]) == 3 and rows[2][1] not in by_id[7]
+    assert sum(i % 2 == 0 for i in by_id if i is not None and i < 400) <= 4 and sum(i % 2 for i in by_id if i is not None and i < 400) >= 196
+
+
+def test_ftrl_updates():
+    """The vectorised steps against the update rule, coordinate by coordinate."""
+    r = np.random.default_rng(2)
+    model, z, n = quality.Ftrl(), {}, {}
+
+    def weight(d):
+        a = z.get(d, 0.0)
+        return 0.0 if abs(a) <= quality.L1 else -(a - math.copysign(quality.L1, a)) / ((quality.BETA + math.sqrt(n.get(d, 0.0))) / quality.ALPHA + quality.L2)
+
+    for step in range(60):
+        dims, values, label = r.choice(30, 8, replace=False), r.random(8), step % 2
+        w = [weight(d) for d in dims]
+        p = 1 / (1 + math.exp(-sum(a * v for a, v in zip(w, values, strict=True))))
+        for d, v, a in zip(dims.tolist(), values, w, strict=True):
+            g = (p - label) * v
+            sigma = (math.sqrt(n.get(d, 0.0) + g * g) - math.sqrt(n.get(d, 0.0))) / quality.ALPHA
+            z[d] = z.get(d, 0.0) + g - sigma * a
+            n[d] = n.get(d, 0.0) + g * g
+        model.learn(dims, values, label)
+    assert np.allclose(model.weights(np.arange(30)), [weight(d) for d in range(30)])
+
+
 def test_lm_scores(docs, rows, empty):
     got = {r.doc_id: r for r in masked_lm.score_documents(docs).collect()}
     for i, t, *_ in rows:
