@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Bits of the filter for each listed key, words of a block, bits of a word.
 BITS_A_KEY, WORDS, WORD_BITS = 16, 8, 32
-#: The filter is broadcast up to so many blocks (of 64 bytes); a longer list goes to the exact join without it.
+#: The filter is broadcast up to so many blocks (of 64 bytes); a larger one is joined by block.
 BROADCAST_BLOCKS = 1 << 17
 MULTIPLIERS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 
@@ -78,9 +78,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     blocks = 1
     while blocks * WORDS * WORD_BITS < count * BITS_A_KEY:
         blocks *= 2
+    bloom = bloom_filter(listed, blocks)
     if blocks <= BROADCAST_BLOCKS:
-        bloom = F.broadcast(bloom_filter(listed, blocks))
-        probes = probes.withColumn("block", _block(F.col("key"), blocks)).join(bloom, "block").filter(passes(F.col("key")))
+        bloom = F.broadcast(bloom)
+    probes = probes.withColumn("block", _block(F.col("key"), blocks)).join(bloom, "block").filter(passes(F.col("key")))
     rule = F.concat("host", "path")
     hits = probes.select("tail", "head", "key").join(listed, "key")
     best = hits.groupBy("tail", "head").agg(F.max(F.struct(F.length(rule).alias("size"), rule.alias("rule"), F.col("verdict"))).alias("best"))
