@@ -181,9 +181,7 @@ _PATTERNS = {"d": "dd", "H": "HH", "I": "hh", "m": "MM", "M": "mm", "S": "ss", "
 
 
 def strftime(fmt: E, *args: E) -> E:
-    if not fmt.is_const:
-        raise Unsupported("a date format that varies by row")
-    if fmt.const is None or not args:
+    if (fmt.is_const and fmt.const is None) or not args:
         return literal(None)
     if len(args) == 1 and args[0].ts:
         t, ms = args[0].ts, _start(args[0], None)
@@ -199,7 +197,7 @@ def strftime(fmt: E, *args: E) -> E:
         "k": f"lpad(CAST(hour({t}) AS STRING), 2, ' ')",
         "l": f"lpad(CAST((hour({t}) + 11) % 12 + 1 AS STRING), 2, ' ')",
         "j": f"lpad(CAST(dayofyear({date}) AS STRING), 3, '0')",
-        "J": f"CAST(CAST({ms} AS DOUBLE) / {DAY}D + {JULIAN_EPOCH}D AS STRING)",
+        "J": f"regexp_replace(CAST(CAST({ms} AS DOUBLE) / {DAY}D + {JULIAN_EPOCH}D AS STRING), '\\\\.0$', '')",
         "p": f"if(hour({t}) < 12, 'AM', 'PM')",
         "P": f"if(hour({t}) < 12, 'am', 'pm')",
         "s": f"CAST(CAST(floor({ms} / 1000D) AS BIGINT) AS STRING)",
@@ -211,6 +209,12 @@ def strftime(fmt: E, *args: E) -> E:
         "G": f"CAST(extract(YEAROFWEEK FROM {date}) AS STRING)",
         "g": f"lpad(CAST(extract(YEAROFWEEK FROM {date}) % 100 AS STRING), 2, '0')",
     }
+    if not fmt.is_const:  # each conversion is replaced where a row's format has it
+        known = {c: f"date_format({t}, '{p}')" for c, p in _PATTERNS.items()} | special
+        made = f"replace({text(fmt)}, '%%', '\\u0001')"
+        for c, sql in known.items():
+            made = f"replace({made}, '%{c}', {sql})"
+        return E(f"CASE WHEN rlike(replace({text(fmt)}, '%%', ''), '^(?s)([^%]|%[{''.join(known)}])*\\\\z') THEN replace({made}, '\\u0001', '%') END", "TEXT")
     out, i, source = [], 0, str(fmt.const)
     while i < len(source):
         if source[i] != "%":

@@ -220,6 +220,10 @@ def constant_stored(e: E, aff: str) -> E:
 
 def any_stored(e: E, aff: str) -> str:
     """A value after a column's affinity, in a column of class ANY."""
+    if e.cls == "ANY" and aff in ("REAL", "INTEGER", "NUMERIC"):
+        x, k = e.sql, 0 if aff == "REAL" else 1
+        other = any_of(E(f"({x}.d + {x}.lo)", "REAL")) if aff == "REAL" else any_stored(E(f"{x}.d", "REAL"), aff)
+        return f"CASE WHEN {x}.c = 1 AND {x}.k = {k} THEN {other} WHEN {x}.c = 2 THEN {any_stored(E(f'{x}.t', 'TEXT'), aff)} ELSE {x} END"
     if e.cls == "ANY" and aff == "TEXT":
         return f"if({e.sql}.c = 3, {e.sql}, {any_of(E(text(e), 'TEXT'))})"
     if e.cls == "ANY" or aff in ("BLOB", "TEXT") or e.cls == "BLOB":
@@ -262,6 +266,10 @@ def stored(e: E, aff: str, cls: str) -> str:
     if cls in ("INT", "REAL") and e.cls == "TEXT":
         target = "BIGINT" if cls == "INT" else "DOUBLE"
         return f"CASE WHEN {e.sql} IS NULL THEN NULL WHEN rlike({e.sql}, '{LOOKS_NUMERIC}') THEN CAST(CAST(trim({e.sql}) AS DOUBLE) AS {target}) ELSE raise_error('text in a numeric column needs a column of mixed classes') END"
+    if e.cls == "ANY" and cls in ("INT", "REAL", "TEXT"):  # of numbers and numeric text, or of text
+        x = any_stored(e, aff)
+        value_of, fit = {"INT": (any_integer("x"), "x.c = 1 AND x.k = 0"), "REAL": ("x.d", "x.c = 1 AND x.k = 1"), "TEXT": ("x.t", "x.c = 2")}[cls]
+        return f"transform(array({x}), x -> CASE WHEN x IS NULL THEN NULL WHEN {fit} THEN {value_of} ELSE raise_error('this value needs a column of mixed classes') END)[0]"
     raise Unsupported(f"a {e.cls} value in a column of class {cls}")
 
 

@@ -122,6 +122,7 @@ class Session:
         self.implicit = False
         self.counters = {"changes": 0, "total_changes": 0, "last_insert_rowid": 0}
         self.dirty = False
+        self.holding: list[DataFrame] = []
 
     # Inputs
 
@@ -165,9 +166,10 @@ class Session:
 
         spark_name, kind = f"brindle_{uuid.uuid4().hex}", {"INT": int, "REAL": float, "TEXT": str}[returns]
 
-        def whole(v: pd.Series) -> kind:
+        def whole(v):
             return function(v.dropna())
 
+        whole.__annotations__ = {"v": pd.Series, "return": kind}
         self.spark.udf.register(spark_name, pandas_udf(whole, SPARK_OF[returns].lower()))
         self.aggregates[name.lower()] = (spark_name, returns)
 
@@ -274,7 +276,14 @@ class Session:
             finally:
                 self.wide = False
 
+    def held(self, df: DataFrame) -> DataFrame:
+        """Rows that a statement reads several times, until the next one begins."""
+        self.holding.append(df.cache())
+        return self.holding[-1]
+
     def _run(self, s):
+        while self.holding:
+            self.holding.pop().unpersist()
         if isinstance(s, A.Query):
             rel = self.lowering().query(s)
             return rel.columns, self.collect(rel)
@@ -781,7 +790,7 @@ class Session:
         if any(rule == "IGNORE" for _, rule in constraints) or s.upserts:
             # Rows left out take no rowid.
             rows = self.place_rowids(t, rows.drop("_rowid_"))
-        fresh = rows.cache()
+        fresh = self.held(rows)
         inserted = fresh.count() if count is None else count
         changed = 0 if updated is None else updated.count()
         last = fresh.orderBy(F.desc("_order_")).limit(1).select("_rowid_").collect()
@@ -832,7 +841,7 @@ class Session:
         q = [f"q{i}" for i in range(n)]
         names = ["_rowid_"] + [f"c{i}" for i in range(len(t.columns))]
         new = self.key_frame(t, u, rows)
-        ranked = new.withColumn("_n_", F.row_number().over(Window.partitionBy(*q).orderBy("_order_"))).cache()
+        ranked = self.held(new.withColumn("_n_", F.row_number().over(Window.partitionBy(*q).orderBy("_order_"))))
         plain = rows.join(ranked.select("_order_"), "_order_", "left_anti").select("_order_", "_given_", *names)
         touched_all, kept_new = None, plain
         rounds = ranked.agg(F.max("_n_")).first()[0] or 0
@@ -847,7 +856,7 @@ class Session:
             h = hit.withColumnRenamed("n_rowid_", "n_rowid_").alias("h")
             cond = F.coalesce(F.expr(truth(low.expr(up[3], scope))), F.lit(False)) if up[3] is not None else F.lit(True)
             change = h.filter(cond)
-            touched = change.select(*self.assignments(t, low, scope, up[2], "h")).cache()
+            touched = self.held(change.select(*self.assignments(t, low, scope, up[2], "h")))
             touched = self.validate(t, touched, None)
             missed = turn.join(hit.select(*q), q, "left_anti")
             data = data.join(touched.select("_rowid_"), "_rowid_", "left_anti").select(*names).unionByName(touched.select(*names))
@@ -904,7 +913,7 @@ class Session:
         view = self.view_of(t.data)
         texts = self.assignment_sql(t, low, scope, s.sets)
         hit = self.spark.sql(f"SELECT u._rowid_ AS old_, {', '.join(f'{x} AS {n}' for n, x in zip(names, texts, strict=True))} FROM {view} u{where}")
-        hit = self.validate(t, hit, s.conflict).cache()
+        hit = self.held(self.validate(t, hit, s.conflict))
         rest = t.data.join(hit.select(F.col("old_").alias("_rowid_")), "_rowid_", "left_anti")
         for u, rule in [(None, s.conflict or "ABORT")] + [(u, s.conflict or u.conflict) for u in t.uniques]:
             q = [f"q{i}" for i in range(1 if u is None else len(u.columns))]
@@ -971,7 +980,7 @@ class Session:
         for c in scope.columns:
             c.table = s.alias or t.name
         where = f" WHERE {low.condition(s.where, scope)}" if s.where is not None else ""
-        gone = self.spark.sql(f"SELECT u.* FROM {self.view_of(t.data)} u{where}").cache()
+        gone = self.held(self.spark.sql(f"SELECT u.* FROM {self.view_of(t.data)} u{where}"))
         n = gone.count()
         self.affected = gone.orderBy("_rowid_")
         self.finish(t, t.data.join(gone.select("_rowid_"), "_rowid_", "left_anti"), n)

@@ -43,6 +43,7 @@ QUERIES = [
     "SELECT \"nope\", 'it' || 1 || 2.5",
     "SELECT printf('%.*f|%.*e|%-*d|', id, 3.14159, id, 1234.5, id + 3, id) FROM t ORDER BY id",
     "SELECT printf(b || ':%5d:%s:%g:%x:%q:%05.1f', id, a, r, id * 17, 'it''s', r) FROM t ORDER BY id",
+    "SELECT strftime('%Y-%m ' || iif(id > 2, '%%d %d', '%j %W %H:%M') || substr('%s%w', 1, 2 * (id % 3)), '2024-03-15 01:02:03'), strftime('%J', '2000-01-01 12:00:00') FROM t ORDER BY id",
     "SELECT nope FROM t",
     "SELECT abs(1,2)",
     "SELECT sum(sum(id)) FROM t",
@@ -146,6 +147,18 @@ def test_values(both, query, want):
         assert got == want
 
 
+def test_mixed_values_into_columns(spark):
+    """Integers among reals take a column's affinity, in INSERT, UPDATE and upsert."""
+    db, s = sqlite3.connect(":memory:", isolation_level=None), Session(spark)
+    text = """CREATE TABLE p(k INTEGER PRIMARY KEY, r REAL, i INTEGER);
+    INSERT INTO p SELECT column1, CASE column1 WHEN 1 THEN 1 ELSE 2.5 END, CASE column1 WHEN 1 THEN 4.0 ELSE 2 END FROM (VALUES (1), (2));
+    SELECT r, typeof(r), i, typeof(i) FROM p ORDER BY k;
+    INSERT INTO p(k, r) VALUES (1, 7) ON CONFLICT(k) DO UPDATE SET r = coalesce(NULL, iif(excluded.r > 5, 3, 0.5)), i = iif(k = 1, 8.0, 1);
+    UPDATE p SET r = iif(k = 2, 9, 0.25) WHERE k = 2;
+    SELECT r, typeof(r), i, typeof(i) FROM p ORDER BY k"""
+    assert lines(lambda q: (s.run(q) or (0, []))[1], text) == lines(lambda q: db.execute(q).fetchall(), text)
+
+
 def test_updates_see_keys_in_row_order(spark):
     s = Session(spark)
     for q in ("CREATE TABLE k(a INTEGER PRIMARY KEY, b INTEGER UNIQUE)", "INSERT INTO k VALUES (1, 10), (2, 20), (3, 30)"):
