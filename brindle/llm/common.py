@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Bytes of text that a vectorised step holds at once (a longer document is a slice of its own).
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch while a table is saved: rows hold whole documents.
+ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Saved tables of at most so many bytes are broadcast; larger ones are shuffled.
 LIGHT_BYTES = 3 << 20
 
@@ -37,7 +39,13 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf = self.spark.conf
+        before = conf.get(ARROW)
+        conf.set(ARROW, min(ARROW_ROWS, int(before) if int(before) > 0 else ARROW_ROWS))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(ARROW, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         out.light = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength() <= LIGHT_BYTES
