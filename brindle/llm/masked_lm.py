@@ -18,7 +18,7 @@ from .hashing import Words, long
 SPLIT, KNOWN = 96, 16
 CLASSES = SPLIT * SPLIT
 #: Words on either side, least width of an input vector, tokens of an update and of a look, rounds of averaging, first step size.
-SIDE, WIDTH, MINIBATCH, SCORED, ROUNDS, RATE = 2, 16, 8192, 32768, 2, 0.5
+SIDE, WIDTH, MINIBATCH, SCORED, ROUNDS, RATE = 2, 12, 8192, 32768, 2, 0.5
 #: Parameters of a piece that is summed in one group, and the bits after the point that they are summed in.
 PIECE, BITS = 4096, 56
 #: The first input stands for what lies beyond the document's edge.
@@ -27,11 +27,11 @@ EDGE = 0
 
 def split_for(total: int) -> int:
     """Classes for a corpus of ``total`` words: words with an output of their own grow with its square root."""
-    return max(SPLIT, 3 * round((9 / 8) ** 0.5 * total**0.25 / 3))
+    return max(SPLIT, 3 * round(0.98 * total**0.25 / 3))
 
 
 def width_for(total: int) -> int:
-    return max(WIDTH, 4 * round(4 * (total / 2**27) ** 0.125))
+    return max(WIDTH, 4 * round(3 * (total / 2**27) ** 0.125))
 
 
 def parts_for(total: int) -> int:
