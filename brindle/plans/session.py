@@ -159,18 +159,19 @@ class Session:
     def create_aggregate(self, name: str, function, returns: str = "REAL") -> None:
         """An aggregate of the user's over one value: ``function`` gets a group's values, without NULLs, as a pandas Series.
 
-        A group comes together in one task, so it is for groups that fit there; built-in aggregates are reduced first.
+        A group without values gives NULL. A group's values come together in one row, so it is for groups that fit there;
+        built-in aggregates are reduced first.
         """
         import pandas as pd
         from pyspark.sql.functions import pandas_udf
 
-        spark_name, kind = f"brindle_{uuid.uuid4().hex}", {"INT": int, "REAL": float, "TEXT": str}[returns]
+        spark_name = f"brindle_{uuid.uuid4().hex}"
 
-        def whole(v):
-            return function(v.dropna())
+        def rows(groups: pd.Series) -> pd.Series:
+            return pd.Series([function(pd.Series(v)) if len(v) else None for v in groups], dtype=object)
 
-        whole.__annotations__ = {"v": pd.Series, "return": kind}
-        self.spark.udf.register(spark_name, pandas_udf(whole, SPARK_OF[returns].lower()))
+        rows.__annotations__ = {"groups": pd.Series, "return": pd.Series}
+        self.spark.udf.register(spark_name, pandas_udf(rows, SPARK_OF[returns].lower()))
         self.aggregates[name.lower()] = (spark_name, returns)
 
     def create_table_function(self, name: str, columns: str, function, *arguments) -> None:
