@@ -6,22 +6,12 @@ import re
 
 from brindle.plans.errors import Unsupported
 
-from .values import E, literal, quoted, real, text, value
+from .values import E, let, literal, quoted, real, text, value
 
 DAY = 86_400_000
 JULIAN_EPOCH = 2440587.5
 
 
-def let(sql: str, body) -> str:
-    """``body`` of a name bound to ``sql``, so that it is computed once."""
-    let.count += 1
-    v = f"m{let.count}"
-    return f"element_at(transform(array({sql}), {v} -> {body(v)}), 1)"
-
-
-let.count = 0
-
-
 def _from_text(x: str) -> str:
     """Milliseconds of ISO-8601 text or of a Julian day number in text; null if it is neither."""
     date = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})"

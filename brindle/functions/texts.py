@@ -7,7 +7,7 @@ import re
 from brindle.plans.errors import DialectError, Unsupported
 
 from . import formats
-from .values import E, LOOKS_NUMERIC, LOWER, UPPER, integer, literal, quoted, real, text, value
+from .values import E, LOOKS_NUMERIC, LOWER, UPPER, integer, literal, quoted, real, shortest, text, value
 
 __all__ = ["LOOKS_NUMERIC", "char", "glob", "like", "printf"]
 
@@ -222,7 +222,7 @@ def _conversion(kind: str, flags: str, width: str | None, p: int | None, a: E |
         big = f"abs({x})"
         if kind == "f":
             # Ties round away from zero on the shortest digits of the number.
-            digits = f"CAST(CAST(round(CAST(CAST({big} AS STRING) AS DECIMAL(38, {min(18, p + 3)})), {p}) AS DECIMAL(38, {min(18, p)})) AS STRING)"
+            digits = f"CAST(CAST(round(CAST({shortest(big)} AS DECIMAL(38, {min(18, p + 3)})), {p}) AS DECIMAL(38, {min(18, p)})) AS STRING)"
             if p == 0 and "#" in flags:
                 digits = f"concat({digits}, '.')"
             if "," in flags:

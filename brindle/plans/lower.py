@@ -847,7 +847,7 @@ class Lowering:
             return E(f"array_{c.name}({values})", x.cls, x.aff, x.coll)
         if c.name in ("group_concat", "string_agg"):
             sep = self.expr(c.args[1], scope) if len(c.args) > 1 else literal(",")
-            return E(f"CASE WHEN size({values}) > 0 THEN array_join(transform({values}, y -> CAST(y AS STRING)), {text(sep)}) END", "TEXT")
+            return E(f"CASE WHEN size({values}) > 0 THEN array_join(transform({values}, y -> {text(E('y', x.cls))}), {text(sep)}) END", "TEXT")
         cls = "INT" if x.cls == "INT" and c.name == "sum" else "REAL"
         zero, kind = ("0L", "BIGINT") if cls == "INT" else ("0D", "DOUBLE")
         total = f"aggregate({values}, {zero}, (a, y) -> a + CAST(y AS {kind}))"

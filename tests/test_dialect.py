@@ -1,11 +1,14 @@
 """Statements whose rows the standard library's sqlite3 gives too."""
 
+import math
+import random
 import sqlite3
+import struct
 
 import pytest
 
 from brindle.plans.lexer import split_script
-from brindle.plans.render import line
+from brindle.plans.render import line, real
 from brindle.plans.session import Session
 
 SETUP = """
@@ -134,6 +137,9 @@ VALUES = [
     ("SELECT id FROM t WHERE a NOT IN (SELECT a FROM t WHERE id = 99) ORDER BY id", ["1", "2", "3", "4"]),
     ("SELECT abs(u), typeof(abs(u)) FROM (SELECT id AS i, iif(id = 1, -3, -3.5) AS u FROM t) ORDER BY i LIMIT 2", ["3|integer", "3.5|real"]),
     ("SELECT round(r, id - 1) FROM t ORDER BY id", ["2.0", "2.5", "NULL", "-1.0"]),
+    ("SELECT group_concat(r * 1e7) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) FROM t ORDER BY id LIMIT 1", ["25000000.0,-10000000.0"]),
+    ("SELECT (SELECT max(r) * 1e-7 FROM t) || '' FROM t WHERE id = 4", ["2.5e-07"]),
+    ("SELECT printf('%.0f|%.2f', id * 59031e16, id * 1e23) FROM t WHERE id = 1", ["590310000000000000000|100000000000000000000000.00"]),
     ("SELECT group_concat(id, a) FROM (SELECT * FROM t ORDER BY id)", None),
 ]
 
@@ -147,6 +153,17 @@ def test_values(both, query, want):
         assert got == want
 
 
+def test_reals_have_their_shortest_text(spark):
+    """Also where Java's text has a digit too many or isn't the nearest: small, large and subnormal ones, powers of two."""
+    rng = random.Random(4)
+    found = [59031e16, 59033e16, 2e23, 1e23, 3.0795393649127737e25, 4.7527289157379e-212, 2.00416836000897e-292, 5e-324, 1.012e-320, 2.781342323134e-309, 1.7976931348623157e308, 0.0, -0.0, math.inf, 2.0**53, 1e16, 1e-4]
+    found += [2.0**k for k in range(-1074, 1024, 7)] + [rng.randint(1, 900_000) * 1e16 for _ in range(300)] + [float(rng.getrandbits(rng.randint(54, 64))) for _ in range(300)]
+    found += [struct.unpack("<d", struct.pack("<Q", rng.randint(1, 0x7FE << 52)))[0] for _ in range(300)] + [10 ** rng.uniform(-5, 17) for _ in range(300)]
+    s = Session(spark)
+    s.register("v", spark.createDataFrame([(x,) for x in found + [-x for x in found] + [None]], "x double"))
+    assert [(x, t) for x, t in s.run("SELECT x, x || '' FROM v")[1] if t != (None if x is None else real(x))] == []
+
+
 def test_mixed_values_into_columns(spark):
     """Integers among reals take a column's affinity, in INSERT, UPDATE and upsert."""
     db, s = sqlite3.connect(":memory:", isolation_level=None), Session(spark)
